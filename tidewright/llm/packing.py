@@ -15,6 +15,7 @@ ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,15 +33,17 @@ END_TOKEN = 2
 #: Classes up to this are all reciprocals, above it powers of two.
 FINE = 64
 #: Words kept by a worker; the cache starts anew when full.
-CACHE = 500_000
+CACHE = 800_000
 
 _ready: dict[str, WordTokens] = {}
 
 
 class WordTokens:
-    """Token ids of whole texts from a vocabulary that drops white space, word by word with a bounded cache."""
+    """Token ids of whole texts from a vocabulary that drops white space and case, word by word with a bounded cache."""
 
     def __init__(self, path: str):
+        # Spark already runs one worker a core; the library's own threads would only spin.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,18 +53,26 @@ class WordTokens:
         """The ids of ``text`` without special tokens.
 
         White space ends a word and is dropped, so the ids of a text are those of
-        its runs between blanks, each looked up or encoded once.
+        its runs between blanks, each looked up or encoded once.  ASCII letters
+        are lowered before, as the vocabulary does; not where the text may hold a
+        special token, whose spelling counts.
         """
-        words = (text or "").encode("utf-8", "replace").split()
+        raw = (text or "").encode("utf-8", "replace")
+        words = (raw if b"<|" in raw else raw.lower()).split()
+        try:
+            return np.frombuffer(b"".join(map(self._known.__getitem__, words)), "<u4")
+        except KeyError:
+            self._learn({*words})
+            return np.frombuffer(b"".join(map(self._known.__getitem__, words)), "<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
         known = self._known
-        new = [w for w in {*words} if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = [*{*words}]
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = [*words]
+        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def word_tokens(path: str) -> WordTokens:
