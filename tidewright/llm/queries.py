@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import additive_model, byte_bpe, embedding_dedup, histogram_sort, jaccard_join, masked_lm, packing, pii, quality_rules, url_templates
 from tidewright.llm.common import load
+from tidewright.llm.oracle import ORACLE_SQL
 
 
 def op1_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_jaccard_join, op4_url_templates, op5_byte_bpe, op6_histogram_sort, op7_additive_model, op8_harmonic_packing, op9_embedding_dedup, op10_pii)}
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
