@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewright.llm import url_templates as U
 from tidewright.llm.quality_rules import CUTOFFS, STRATA, Risk
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -57,4 +58,29 @@ roots as (select id, min(root) root from reach group by 1),
 n as (select a, count(*) n from links group by 1)
 select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(root, vec_id) as component_id, coalesce(root, vec_id) = vec_id as kept from embeddings left join n on a = vec_id left join roots on roots.id = vec_id"""
 
-ORACLE_SQL = {"op2_quality_rules": _rules(), "op3_jaccard_join": _JACCARD, "op9_embedding_dedup": _EMBEDDINGS}
+
+def _urls() -> str:
+    """The template tree level by level, the purity of merged siblings, and the stated rules, longest first."""
+    fits = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then ['{h + p}', '{v}']" for v, h, p in sorted(U.RULES, key=lambda r: -len(r[1] + r[2])))
+    levels = ""
+    for n in range(U.DEPTH):
+        levels += f"""
+c{n} as (select prefix, s[{n + 1}] g, count(*) n from l{n} where len(s) > {n} group by 1, 2),
+w{n} as (select prefix from c{n} group by 1 having count(*) > {U.FEW_VALUES} and sum(n) < {U.REPEAT} * count(*)),
+l{n + 1} as (select page_id, host, path, s, case when len(s) > {n} then prefix else parent end parent, case when len(s) > {n} then prefix || '/' || case when prefix in (select prefix from w{n}) then '*' else s[{n + 1}] end else prefix end prefix from l{n}),"""
+    return rf"""
+with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
+q as (select *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '*' else x end) s from p),
+l0 as (select page_id, host, path, case when len(s) > {U.DEPTH} then s[1:{U.DEPTH}] || ['**'] else s end s, host parent, host prefix from q),{levels}
+t as (select page_id, host, path, parent, prefix || case when len(s) > {U.DEPTH} then '/**' else '' end template from l{U.DEPTH}),
+lab as (select page_id, max(coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1) bad from p join labels on doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})[^/]*/?$', 1), '') as bigint) group by 1),
+b as (select parent, template, count(bad) n, count(*) filter (where bad) k from t left join lab using (page_id) group by 1, 2),
+pool as (select parent, sum(n) pn, sum(k) pk from b group by 1),
+m as (select parent, template, n, k, pn, pk, pk / greatest(pn, 1) r, (select sum(k) / greatest(sum(n), 1) from b) rate from b join pool using (parent)),
+x as (select *, abs(k - n * r) > {U.Z_MERGE} * sqrt(greatest(n * r * (1 - r), 0.25)) alone from m),
+bad as (select parent, template from x where ((case when alone then k else pk end) + {U.PRIOR} * coalesce(rate, 0)) / ((case when alone then n else pn end) + {U.PRIOR}) >= {U.PURITY}),
+v as (select t.*, case {fits} end choice, (parent, template) in (select (parent, template) from bad) rejected from t)
+select page_id, host, path, choice[1] as rule, coalesce(choice[2], case when rejected then 'block' else 'allow' end) as verdict from v"""
+
+
+ORACLE_SQL = {"op4_url_templates": _urls(), "op2_quality_rules": _rules(), "op3_jaccard_join": _JACCARD, "op9_embedding_dedup": _EMBEDDINGS}
