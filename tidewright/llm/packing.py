@@ -33,7 +33,7 @@ END_TOKEN = 2
 #: Classes up to this are all reciprocals, above it powers of two.
 FINE = 64
 #: Words kept by a worker; the cache starts anew when full.
-CACHE = 800_000
+CACHE = 1_600_000
 
 _ready: dict[str, WordTokens] = {}
 
