@@ -50,6 +50,22 @@ def test_query_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
+def test_components_equal_union_find(spark, duck):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for order, part in duck.execute("select l_orderkey, l_partkey from lineitem").fetchall():
+        a, b = root((0, order)), root((1, part))
+        parent[max(a, b)] = min(a, b)
+    want = {x[1]: root(x)[1] for x in list(parent) if x[0] == 0}
+    got = {r["node"]: r["component"] for r in entry.queries()["g29_components"](spark, SF).collect()}
+    assert got == want
+
+
 def test_filters_reach_the_scan(spark):
     if not os.path.isdir(SF):
         pytest.skip("the driver's tables are not here")

@@ -88,17 +88,17 @@ def _print(c: str) -> Column:
     return (F.floor(F.col(c) / 4) * 2654435761 + F.pmod(F.col(c), F.lit(4))).cast("long")
 
 
-@query("""with p as (select page_id, ((page_id // 4) * 2654435761 + page_id % 4)::bigint f from pages where page_id < 400) select distinct a.f as u, b.f as v from p a join p b on a.f < b.f and bit_count(xor(a.f, b.f)) <= 3""")
+@query("""with p as (select page_id, ((page_id // 4) * 2654435761 + page_id % 4)::bigint f from pages) select distinct a.f as u, b.f as v from p a join p b on a.f < b.f and bit_count(xor(a.f, b.f)) <= 3""")
 def j13_banded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints within three bits, found through four bands of sixteen."""
-    prints = table(spark, sf_dir, "pages").filter("page_id < 400").select(_print("page_id").alias("print")).distinct()
+    prints = table(spark, sf_dir, "pages").select(_print("page_id").alias("print")).distinct()
     return near_pairs(prints)
 
 
-@query("""with recursive p as (select page_id, ((page_id // 4) * 2654435761 + page_id % 4)::bigint f from pages where page_id < 200), l as (select a.page_id a, b.page_id b from p a join p b on a.page_id <> b.page_id and bit_count(xor(a.f, b.f)) <= 3), r(id, root) as (select page_id, page_id from p union select l.b, r.root from r join l on l.a = r.id where r.root < l.b) select id as page_id, min(root) as cluster from r group by 1""")
+@query("""with recursive p as (select page_id, ((page_id // 4) * 2654435761 + page_id % 4)::bigint f from pages), l as (select a.page_id a, b.page_id b from p a join p b on a.page_id <> b.page_id and bit_count(xor(a.f, b.f)) <= 3), r(id, root) as (select page_id, page_id from p union select l.b, r.root from r join l on l.a = r.id where r.root < l.b) select id as page_id, min(root) as cluster from r group by 1""")
 def x25_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate clusters over given fingerprints: bands, distance, components, smallest member."""
-    pages = table(spark, sf_dir, "pages").filter("page_id < 200").select("page_id", _print("page_id").alias("print"))
+    pages = table(spark, sf_dir, "pages").select("page_id", _print("page_id").alias("print"))
     prints = pages.select(F.col("print").alias("node")).distinct()
     labels = spread_minimum(prints, near_pairs(prints.withColumnRenamed("node", "print")))
     placed = shared_table(pages.join(labels, F.col("print") == F.col("node")).select("page_id", "label"), "placed")
@@ -129,9 +129,9 @@ def y11_current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))
 
 
-@query("""select conv_id, turn, contains(text, substr((select text from benchmark where item_id = 0), 1, 20)) as found from conversations""")
+@query("""select conv_id, turn, contains(text, (select text from benchmark where item_id = 0)) as found from conversations""")
 def y14_verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quote = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.substring("text", 1, 20).alias("quote"))
+    quote = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.col("text").alias("quote"))
     return table(spark, sf_dir, "conversations").crossJoin(F.broadcast(quote)).select("conv_id", "turn", F.contains("text", F.col("quote")).alias("found"))
 
 
@@ -177,10 +177,11 @@ def y36_property_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", bad.alias("rejected"))
 
 
-@query("""select doc_id, source, lang from documents where doc_id % 2 = 0 union select doc_id, source, lang from documents where doc_id % 3 = 0""")
+@query("""select doc_id, source, lang from documents union select doc_id, source, lang from documents where doc_id in (select doc_id from labels)""")
 def y37_stub_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return docs.filter("doc_id % 2 = 0").unionByName(docs.filter("doc_id % 3 = 0")).dropDuplicates(["doc_id"])
+    stubs = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return stubs.unionByName(docs).dropDuplicates(["doc_id"])
 
 
 @query("""select o_custkey, date_diff('day', max(o_orderdate), timestamp '2001-08-01') > 365 as dormant from orders group by 1""")
@@ -216,22 +217,22 @@ def k12_embedding_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "a").select("a", "b", F.round(F.least(F.greatest(cosine(F.col("x"), F.col("y")), F.lit(0.0)), F.lit(1.0)), 8).alias("feature"))
 
 
-@query("""with k as (select p_partkey id, p_name k from part where p_partkey < 400), pairs as (select a.id a, b.id b from k a join k b on a.k = b.k and a.id < b.id), s as (select a, b, case when x.p_brand = y.p_brand then 0.95::double when x.p_type = y.p_type then 0.8::double else 0.5::double end score from pairs join part x on x.p_partkey = a join part y on y.p_partkey = b) select a, b, score, case when score >= 0.92 then 'match' when score >= 0.75 then 'review' else 'distinct' end as decision from s""")
+@query("""with k as (select p_partkey id, p_name || ':' || p_size k from part), pairs as (select a.id a, b.id b from k a join k b on a.k = b.k and a.id < b.id), s as (select a, b, case when x.p_brand = y.p_brand then 0.95::double when x.p_type = y.p_type then 0.8::double else 0.5::double end score from pairs join part x on x.p_partkey = a join part y on y.p_partkey = b) select a, b, score, case when score >= 0.92 then 'match' when score >= 0.75 then 'review' else 'distinct' end as decision from s""")
 def k10_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate pairs by blocking, scored by rules and put into three bands."""
-    part = table(spark, sf_dir, "part").filter("p_partkey < 400")
-    pairs = block_pairs(part, "p_partkey", F.array("p_name"))
+    part = table(spark, sf_dir, "part")
+    pairs = block_pairs(part, "p_partkey", F.array(F.concat_ws(":", "p_name", "p_size")))
     side = lambda c: part.select(F.col("p_partkey").alias(c), F.col("p_brand").alias(f"{c}_brand"), F.col("p_type").alias(f"{c}_type"))
     score = F.when(F.col("a_brand") == F.col("b_brand"), 0.95).when(F.col("a_type") == F.col("b_type"), 0.8).otherwise(0.5)
     scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", score.alias("score"))
     return scored.withColumn("decision", F.when(F.col("score") >= 0.92, "match").when(F.col("score") >= 0.75, "review").otherwise("distinct"))
 
 
-@query("""with recursive k as (select p_partkey id, p_name, p_brand from part where p_partkey < 400), l as (select a.id a, b.id b from k a join k b on a.p_name = b.p_name and a.p_brand = b.p_brand and a.id <> b.id), r(id, root) as (select id, id from k union select l.b, r.root from r join l on l.a = r.id where r.root < l.b) select id as p_partkey, min(root) as entity from r group by 1""")
+@query("""with recursive k as (select p_partkey id, p_name, p_size, p_brand from part), l as (select a.id a, b.id b from k a join k b on a.p_name = b.p_name and a.p_size = b.p_size and a.p_brand = b.p_brand and a.id <> b.id), r(id, root) as (select id, id from k union select l.b, r.root from r join l on l.a = r.id where r.root < l.b) select id as p_partkey, min(root) as entity from r group by 1""")
 def k14_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocking, scoring, components and survivor in one job."""
     accepted = shared_table(k10_pair_scores(spark, sf_dir).filter("decision = 'match'").select(F.col("a").alias("u"), F.col("b").alias("v")), "accepted")
-    nodes = table(spark, sf_dir, "part").filter("p_partkey < 400").select(F.col("p_partkey").alias("node"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     return spread_minimum(nodes, accepted).select(F.col("node").alias("p_partkey"), F.col("label").alias("entity"))
 
 

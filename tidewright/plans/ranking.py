@@ -82,16 +82,16 @@ def w10_conflict_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth vector as a query against all others of its label and the next: rank by id distance, grade by label."""
+    """Every vector whose id is divisible by 20 as a query against all others of its label and the next: rank by id distance, grade by label."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     pool = q.join(v, (F.col("label") == F.col("ql")) | (F.col("label") == F.col("ql") + 1)).filter("query_id != vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id"))
     graded = pool.withColumn("grade", F.when(F.col("label") == F.col("ql"), F.col("vec_id") % 4).otherwise(0).cast("int")).withColumn("rank", rank)
     return graded.select("query_id", F.when(F.col("rank") <= 100, F.col("rank")).alias("rank"), "grade")
 
 
-JUDGED = """pool as (select q.vec_id query_id, v.vec_id, v.label, q.label ql from embeddings q join embeddings v on (v.label = q.label or v.label = q.label + 1) and v.vec_id <> q.vec_id where q.vec_id % 10 = 0),
+JUDGED = """pool as (select q.vec_id query_id, v.vec_id, v.label, q.label ql from embeddings q join embeddings v on (v.label = q.label or v.label = q.label + 1) and v.vec_id <> q.vec_id where q.vec_id % 20 = 0),
 judged as (select query_id, case when label = ql then vec_id % 4 else 0 end grade, row_number() over (partition by query_id order by abs(vec_id - query_id), vec_id) r from pool),
 runs as (select query_id, case when r <= 100 then r end rank, grade, (grade >= 1)::int rel, pow(2.0, grade) - 1 gain, row_number() over (partition by query_id order by grade desc) ideal, sum((grade >= 1)::int) over (partition by query_id order by r) hits from judged),
 m as (select query_id, k, sum(case when rank <= k then rel else 0 end) found, sum(rel) total, min(case when rel = 1 then rank end) first, sum(case when rel = 1 and rank is not null then hits / rank else 0 end) ap,

@@ -12,15 +12,15 @@ from tidewright.plans.registry import query, table
 
 
 def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three words of over four letters of each of the first ten benchmark items."""
-    words = F.slice(F.filter(T.tokens(T.dedup_form(F.col("text"))), lambda w: F.length(w) > 4), 1, 3)
-    items = table(spark, sf_dir, "benchmark").filter("item_id < 10")
+    """The words of over four letters of every benchmark item whose id is divisible by 20."""
+    words = F.filter(T.tokens(T.dedup_form(F.col("text"))), lambda w: F.length(w) > 4)
+    items = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0")
     return items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(words)).alias("token")).withColumn("boost", F.lit(1.0))
 
 
 _TOK = "regexp_extract_all(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[\\p{L}\\p{N}_]+')"
 _SQL_BM25 = f"""tok as (select doc_id, {_TOK} t from documents), tot as (select count(*) n, avg(len(t)) avgdl from tok), w as (select doc_id, len(t) dl, unnest(t) token from tok), post as (select doc_id, dl, token, count(*) tf from w group by 1, 2, 3),
-q as (select distinct item_id query_id, unnest(list_slice(list_filter({_TOK}, lambda x: length(x) > 4), 1, 3)) token from benchmark where item_id < 10), df as (select token, count(*) df from post group by 1),
+q as (select distinct item_id query_id, unnest(list_filter({_TOK}, lambda x: length(x) > 4)) token from benchmark where item_id % 20 = 0), df as (select token, count(*) df from post group by 1),
 s as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) score from post join q using (token) join df using (token), tot group by 1, 2)"""
 
 
@@ -36,12 +36,12 @@ def k01_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_hits(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-_SQL_NEAR = """near as (select q.vec_id query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 10) score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 10) desc, v.vec_id) rank from embeddings q join embeddings v on v.vec_id <> q.vec_id where q.vec_id < 10 qualify rank <= 20)"""
+_SQL_NEAR = """near as (select q.vec_id query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 10) score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 10) desc, v.vec_id) rank from embeddings q join embeddings v on v.vec_id <> q.vec_id where q.vec_id % 20 = 0 qualify rank <= 20)"""
 
 
 def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return nearest(v, v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 20)
+    return nearest(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 20)
 
 
 @query(f"with {_SQL_NEAR} select query_id, vec_id, round(score, 8) as score, rank from near")

@@ -80,14 +80,13 @@ def x21_band_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(keys).alias("k")).select("page_id", "k.band", "k.value")
 
 
-@query(f"""with {_SQL_SHINGLES}, one as (select doc_id, list_distinct(s) s from sh where doc_id < 200), x as (select doc_id, unnest(s) g from one), i as (select a.doc_id a, b.doc_id b, count(*) n from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2) select i.a, i.b, round(n / (len(p.s) + len(q.s) - n), 8) as jaccard from i join one p on p.doc_id = i.a join one q on q.doc_id = i.b""")
+@query(f"""with {_SQL_SHINGLES} select p.doc_id as a, q.doc_id as b, round(len(list_intersect(list_distinct(p.s), list_distinct(q.s))) / len(list_distinct(list_concat(p.s, q.s))), 8) as jaccard from sh p join sh q on q.doc_id = p.doc_id + 1""")
 def x23_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact Jaccard of the first documents by shared shingles; a comparison of given pairs, not a corpus join."""
-    words = table(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id", T.tokens(T.dedup_form(F.col("text"))).alias("t"))
-    sets = shared_table(words.select("doc_id", F.array_distinct(T.shingles(F.col("t"))).alias("s")), "sets")
-    side = lambda c, n: sets.select(F.col("doc_id").alias(c), F.explode("s").alias("g"), F.size("s").alias(n))
-    shared = side("a", "na").join(side("b", "nb"), "g").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    return shared.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 8).alias("jaccard"))
+    """Exact Jaccard of given pairs: every document and the one with the next id."""
+    words = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.dedup_form(F.col("text"))).alias("t"))
+    a, b = words.select(F.col("doc_id").alias("a"), F.col("t").alias("x")), words.select(F.col("doc_id").alias("b"), (F.col("doc_id") - 1).alias("a"), F.col("t").alias("y"))
+    sets = a.join(b, "a").select("a", "b", T.shingles(F.col("x")).alias("x"), T.shingles(F.col("y")).alias("y"))
+    return sets.select("a", "b", F.round(F.try_divide(F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))), 8).alias("jaccard"))
 
 
 @query("""with h as (select doc_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) h from documents) select doc_id, min(doc_id) over (partition by h) as canonical, 'dc_' || substr(sha256((min(doc_id) over (partition by h))::varchar), 1, 12) as cluster_id, case when doc_id = min(doc_id) over (partition by h) then null else min(doc_id) over (partition by h) end as duplicate_of from h""")
