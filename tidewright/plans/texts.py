@@ -80,7 +80,7 @@ def x21_band_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(keys).alias("k")).select("page_id", "k.band", "k.value")
 
 
-@query(f"""with {_SQL_SHINGLES} select p.doc_id as a, q.doc_id as b, round(len(list_intersect(list_distinct(p.s), list_distinct(q.s))) / len(list_distinct(list_concat(p.s, q.s))), 8) as jaccard from sh p join sh q on q.doc_id = p.doc_id + 1""")
+@query(f"""with {_SQL_SHINGLES}, x as (select distinct doc_id, unnest(s) g from sh), n as (select doc_id, count(*) n from x group by 1), i as (select a.doc_id a, count(*) k from x a join x b on b.doc_id = a.doc_id + 1 and b.g = a.g group by 1) select p.doc_id as a, q.doc_id as b, round(coalesce(k, 0) / nullif(coalesce(m.n, 0) + coalesce(o.n, 0) - coalesce(k, 0), 0), 8) as jaccard from sh p join sh q on q.doc_id = p.doc_id + 1 left join n m on m.doc_id = p.doc_id left join n o on o.doc_id = q.doc_id left join i on i.a = p.doc_id""")
 def x23_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact Jaccard of given pairs: every document and the one with the next id."""
     words = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.dedup_form(F.col("text"))).alias("t"))
