@@ -223,3 +223,15 @@ def test_language_model_sums_conditionals():
         net.learn(near, vocab.cls[ids], 0.5)
     after = -net.forward(near)[1][np.arange(4), vocab.cls[ids]].mean()
     assert after < before
+
+
+@pytest.mark.parametrize("n", [1, 5, L.BATCH, 4000, 40 * L.BATCH + 7])
+def test_language_model_learns_from_every_word(spark, monkeypatch, n):
+    """Every word is a target exactly once, whatever the length of text and buffer."""
+    vocab, got = L.Vocabulary([(b"a", n)], [0] * L.RARE), []
+    monkeypatch.setattr(L.Network, "learn", lambda self, near, target, rate: got.append((len(near), rate)))
+    monkeypatch.setattr(L, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+    texts = ["a " * 700] * (n // 700) + ["a " * (n % 700)]
+    out = list(L._train(type("S", (), {"value": vocab}))(iter([L.pd.DataFrame({"text": texts})])))
+    assert sum(k for k, _ in got) == n and max(k for k, _ in got) <= L.BATCH
+    assert out[0]["weight"].iloc[0] == n

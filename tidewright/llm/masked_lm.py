@@ -7,9 +7,9 @@ word has its share of the corpus.  A document's score is the sum of these
 conditional log-probabilities.
 
 The vocabulary's counts come from all words of all texts.  The network is
-trained in numpy by every worker on its own texts (every STRIDE-th word of each
-text is a target, in one pass) and the workers' weights are averaged by the
-number of words they saw, through two levels of a shuffle.
+trained in numpy by every worker on its own texts (every word of each text is a
+target once, in one pass) and the workers' weights are averaged by the number of
+words they learnt from, through two levels of a shuffle.
 
 Defined cases: a null or blank text has no words and scores 0; words outside the
 vocabulary fall into classes by a hash, each with one share per different word;
@@ -33,7 +33,7 @@ from tidewright.llm.common import store
 
 #: Words with an embedding of their own, classes they are dealt to, and classes of the other words.
 WORDS, CLASSES, RARE = 4096, 64, 16
-HIDDEN, STRIDE, BATCH, RATE = 16, 8, 2048, 0.1
+HIDDEN, BATCH, RATE = 16, 2048, 0.1
 PLACES = (-2, -1, 1, 2)
 #: Weights in one row of the exchange; a worker's words are counted in blocks of so many different ones.
 CHUNK, BLOCK = 16_384, 400_000
@@ -122,7 +122,7 @@ class Network:
         at = (near + self.steps).ravel()
         order = np.argsort(at, kind="stable")
         ids, first, n = np.unique(at[order], return_index=True, return_counts=True)
-        sums = np.add.reduceat(np.repeat(dh, len(PLACES), axis=0)[order], first, axis=0)
+        sums = np.add.reduceat(dh[order // len(PLACES)], first, axis=0)
         self.table[ids] -= rate * sums / np.sqrt(n)[:, None]
 
 
@@ -139,6 +139,12 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(top, rare)
 
 
+def learn_all(net: Network, near: np.ndarray, target: np.ndarray, mixed: np.ndarray, first: bool) -> None:
+    """Every target once, in equal batches of at most BATCH; a last short buffer moves the weights by its share."""
+    for pick in np.array_split(mixed, -(-len(mixed) // BATCH)):
+        net.learn(near[pick], target[pick], RATE if first else RATE * min(1.0, 2 * len(pick) / BATCH))
+
+
 def _train(shared):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = shared.value
@@ -148,10 +154,7 @@ def _train(shared):
         def step() -> None:
             nonlocal near, target, held
             x, y = np.concatenate(near), np.concatenate(target)
-            mixed = np.random.default_rng(seen).permutation(len(x))
-            for s in range(0, len(x) - BATCH + 1, BATCH) or [0]:
-                pick = mixed[s : s + BATCH]
-                net.learn(x[pick], y[pick], RATE)
+            learn_all(net, x, y, np.random.default_rng(seen).permutation(len(x)), seen == held)
             near, target, held = [], [], 0
 
         for part in parts:
@@ -159,11 +162,10 @@ def _train(shared):
                 ids = vocab.encode(text)
                 if not len(ids):
                     continue
-                pick = np.arange(zlib.crc32(ids.tobytes()) % STRIDE % len(ids), len(ids), STRIDE)
-                near.append(vocab.windows(ids)[pick])
-                target.append(vocab.cls[ids[pick]])
-                held += len(pick)
-                seen += len(pick)
+                near.append(vocab.windows(ids))
+                target.append(vocab.cls[ids])
+                held += len(ids)
+                seen += len(ids)
                 if held >= 32 * BATCH:
                     step()
         if held:
