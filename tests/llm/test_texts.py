@@ -235,3 +235,21 @@ def test_language_model_learns_from_every_word(spark, monkeypatch, n):
     out = list(L._train(type("S", (), {"value": vocab}))(iter([L.pd.DataFrame({"text": texts})])))
     assert sum(k for k, _ in got) == n and max(k for k, _ in got) <= L.BATCH
     assert out[0]["weight"].iloc[0] == n
+
+
+def test_language_model_keeps_the_count_of_every_word(spark, monkeypatch):
+    """Words beyond the vocabulary are scored by their own counts, and often counted words join it at any number."""
+    monkeypatch.setattr(L, "WORDS", 2)
+    monkeypatch.setattr(L, "RARE", 1)
+    docs = [(i, "the of often") for i in range(300)] + [(900, "the of seldom"), (901, None), (None, "the of often"), (None, "the of often")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = [(r["doc_id"], r["n_tokens"], r["log_likelihood"]) for r in L.score_documents(df).collect()]
+    by = {d: s for d, _, s in rows}
+    assert len(rows) == len(docs) and by[901] == 0
+    assert by[0] - by[900] == pytest.approx(np.log(302), abs=1e-6)
+    assert sum(d is None and s == by[0] for d, _, s in rows) == 2
+    monkeypatch.setattr(L, "MIN_COUNT", 300)
+    vocab, counts = L.vocabulary(df)
+    assert set(vocab.ids) == {b"the", b"of", b"often"} and counts.count() == 4
+    monkeypatch.setattr(L, "MIN_COUNT", 1)
+    assert set(L.vocabulary(df)[0].ids) == {b"the", b"of", b"often", b"seldom"}

@@ -3,22 +3,25 @@
 Every word of every text is predicted from the two words on either side by a
 small window network: the neighbours' embeddings are summed per position,
 squashed and turned into a distribution over word classes; within its class a
-word has its share of the corpus.  A document's score is the sum of these
-conditional log-probabilities.
-
-The vocabulary's counts come from all words of all texts.  The network is
+word has its share of the corpus: P(word) = P(class | neighbours) * n(word) /
+n(class).  A document's score is the sum of these conditional log-probabilities.
+
+The counts come from all words of all texts and stay a table.  The WORDS most
+frequent words and every word counted MIN_COUNT times have an embedding and a
+place among the classes of equal mass, whose number follows theirs; the other
+words share the embeddings of hash classes, whose number follows that of the
+different words, and their own counts are joined to them by word.  The network is
 trained in numpy by every worker on its own texts (every word of each text is a
 target once, in one pass) and the workers' weights are averaged by the number of
 words they learnt from, through two levels of a shuffle.
 
-Defined cases: a null or blank text has no words and scores 0; words outside the
-vocabulary fall into classes by a hash, each with one share per different word;
-an empty table gives an empty result; repeated rows count and score as rows;
+Defined cases: a null or blank text has no words and scores 0; an empty table gives an empty result; repeated rows count and score as rows;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,12 +34,16 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import store
 
-#: Words with an embedding of their own, classes they are dealt to, and classes of the other words.
+#: Least words with an embedding of their own, classes they are dealt to, and classes of the other words; all three grow with the corpus.
 WORDS, CLASSES, RARE = 4096, 64, 16
+#: Every word counted as often as this has an embedding of its own.
+MIN_COUNT = 1000
 HIDDEN, BATCH, RATE = 16, 2048, 0.1
 PLACES = (-2, -1, 1, 2)
 #: Weights in one row of the exchange; a worker's words are counted in blocks of so many different ones.
-CHUNK, BLOCK = 16_384, 400_000
+CHUNK, BLOCK = 4096, 400_000
+#: Rare words that a scoring worker holds before it returns them.
+HELD = 100_000
 _MARKS = b".,;:!?\"'()"
 
 
@@ -58,22 +65,30 @@ def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Vocabulary:
-    """Ids, classes and in-class log-shares.  Ids: words, then RARE hashed ones, then the edge."""
+    """Ids, classes and in-class log-shares.  Ids: words, then hashed ones, then the edge.
+
+    ``rare``: counts of all words of each hash class; the share of one of them lacks its own count.
+    """
 
-    def __init__(self, top: list[tuple[bytes, int]], rare_types: list[int]):
+    def __init__(self, top: list[tuple[bytes, int]], rare: list[int]):
         self.ids = {w: i for i, (w, _) in enumerate(top)}
         self.size = len(top)
+        self.rare = len(rare)
+        self.classes = max(CLASSES, math.isqrt(self.size))
         n = np.array([c for _, c in top], float)
         mass = np.cumsum(n) / max(n.sum(), 1.0)
-        cls = np.minimum((mass - n / max(n.sum(), 1.0) / 2) * CLASSES, CLASSES - 1).astype(int) if len(n) else np.zeros(0, int)
-        self.cls = np.concatenate((cls, CLASSES + np.arange(RARE)))
-        share = n / np.bincount(cls, n, CLASSES)[cls] if len(n) else n
-        self.log_share = np.concatenate((np.log(share), -np.log(np.maximum(np.array(rare_types, float), 1.0))))
-        self.edge = self.size + RARE
+        cls = np.minimum((mass - n / max(n.sum(), 1.0) / 2) * self.classes, self.classes - 1).astype(int) if len(n) else np.zeros(0, int)
+        self.cls = np.concatenate((cls, self.classes + np.arange(self.rare)))
+        share = n / np.bincount(cls, n, self.classes)[cls] if len(n) else n
+        self.log_share = np.concatenate((np.log(share), -np.log(np.maximum(np.array(rare, float), 1.0))))
+        self.edge = self.size + self.rare
+
+    def ids_of(self, words: list[bytes]) -> np.ndarray:
+        known, base, rare = self.ids, self.size, self.rare
+        return np.array([i if (i := known.get(w)) is not None else base + zlib.crc32(w) % rare for w in words], np.int64)
 
     def encode(self, text: str | None) -> np.ndarray:
-        known, base = self.ids, self.size
-        return np.array([i if (i := known.get(w)) is not None else base + zlib.crc32(w) % RARE for w in tokens(text)], np.int64)
+        return self.ids_of(tokens(text))
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
         """The four neighbours of every word, the edge beyond both ends."""
@@ -85,8 +100,8 @@ class Vocabulary:
 class Network:
     """Window network over word classes, weights in one flat array."""
 
-    def __init__(self, inputs: int, flat: np.ndarray | None = None):
-        self.inputs, self.outputs = inputs, CLASSES + RARE
+    def __init__(self, inputs: int, flat: np.ndarray | None = None, outputs: int = CLASSES + RARE):
+        self.inputs, self.outputs = inputs, outputs
         sizes = (len(PLACES) * inputs * HIDDEN, HIDDEN, HIDDEN * self.outputs, self.outputs)
         if flat is None:
             rng = np.random.default_rng(20240615)
@@ -119,24 +134,35 @@ class Network:
         self.out -= rate * (h.T @ d) / len(d)
         self.out_bias -= rate * d.mean(axis=0)
         self.bias -= rate * dh.mean(axis=0)
-        at = (near + self.steps).ravel()
-        order = np.argsort(at, kind="stable")
-        ids, first, n = np.unique(at[order], return_index=True, return_counts=True)
+        at = (near + self.steps).astype(np.int32).ravel()
+        order = np.argsort(at)
+        sorted_at = at[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
+        ids, n = sorted_at[first], np.diff(np.append(first, len(at)))
         sums = np.add.reduceat(dh[order // len(PLACES)], first, axis=0)
         self.table[ids] -= rate * sums / np.sqrt(n)[:, None]
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counted over all words of all texts; WORDS words and RARE numbers reach the driver."""
+def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary and the counted table (word, n) of all words of all texts.
+
+    The driver gets the words with an embedding and one number a hash class.
+    """
     counts = store(docs.select("text").mapInPandas(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    last = top[-1] if len(top) == WORDS else None
-    rare = [0] * RARE
-    if last:
-        below = (F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("word") > F.lit(bytearray(last[0]))))
-        for r in counts.filter(below).groupBy((F.crc32("word") % RARE).alias("c")).agg(F.count("*").alias("types")).collect():
-            rare[r["c"]] = r["types"]
-    return Vocabulary(top, rare)
+    size = counts.agg(F.count("*").alias("types"), F.count_if(F.col("n") >= MIN_COUNT).alias("often")).first()
+    chosen = counts.filter(F.col("n") >= MIN_COUNT) if size["often"] >= WORDS else counts.orderBy(F.desc("n"), "word").limit(WORDS)
+    top = sorted(((bytes(r["word"]), r["n"]) for r in chosen.collect()), key=lambda x: (-x[1], x[0]))
+    classes = max(RARE, math.isqrt(size["types"]) // 64)
+    rare = [0] * classes
+    if len(top) < size["types"]:
+        below = (F.col("n") < top[-1][1]) | ((F.col("n") == top[-1][1]) & (F.col("word") > F.lit(bytearray(top[-1][0]))))
+        for r in counts.filter(below).groupBy((F.crc32("word") % classes).alias("c")).agg(F.sum("n").alias("n")).collect():
+            rare[r["c"]] = r["n"]
+    return Vocabulary(top, rare), counts
+
+
+def network(vocab: Vocabulary, flat: np.ndarray | None = None) -> Network:
+    return Network(vocab.edge + 1, flat, vocab.classes + vocab.rare)
 
 
 def learn_all(net: Network, near: np.ndarray, target: np.ndarray, mixed: np.ndarray, first: bool) -> None:
@@ -148,7 +174,7 @@ def learn_all(net: Network, near: np.ndarray, target: np.ndarray, mixed: np.ndar
 def _train(shared):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = shared.value
-        net, seen = Network(vocab.edge + 1), 0
+        net, seen = network(vocab), 0
         near, target, held = [], [], 0
 
         def step() -> None:
@@ -172,8 +198,10 @@ def _train(shared):
             step()
         if seen:
             here = TaskContext.get().partitionId() % 64
-            cut = [net.flat[s : s + CHUNK] for s in range(0, len(net.flat), CHUNK)]
-            yield pd.DataFrame({"chunk": np.arange(len(cut), dtype=np.int32), "lane": np.int32(here), "weight": float(seen), "sums": [c.astype(np.float64) * seen for c in cut]})
+            moved = (net.flat - network(vocab).flat) * np.float32(seen)
+            # The first number of row -1 is a place holder; weights that did not move are not sent.
+            cut = [(-1, moved[:1])] + [(s // CHUNK, c) for s in range(0, len(moved), CHUNK) if (c := moved[s : s + CHUNK]).any()]
+            yield pd.DataFrame({"chunk": np.array([k for k, _ in cut], np.int32), "lane": np.int32(here), "weight": float(seen), "sums": [c for _, c in cut]})
 
     return run
 
@@ -187,43 +215,56 @@ def _sum_chunks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             got[0] += weight
             got[1] += values
     if sums:
-        yield pd.DataFrame([(c, lane, w, v) for (c, lane), (w, v) in sums.items()], columns=["chunk", "lane", "weight", "sums"]).astype({"chunk": "int32", "lane": "int32"})
+        yield pd.DataFrame([(c, lane, w, v.astype(np.float32)) for (c, lane), (w, v) in sums.items()], columns=["chunk", "lane", "weight", "sums"]).astype({"chunk": "int32", "lane": "int32"})
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> Network:
     """The workers' networks, averaged by the words they learnt from."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    schema = "chunk int, lane int, weight double, sums array<double>"
+    schema = "chunk int, lane int, weight double, sums array<float>"
     local = docs.select("text").mapInPandas(_train(shared), schema)
     some = local.repartition("chunk", "lane").mapInPandas(_sum_chunks, schema).withColumn("lane", F.lit(0))
     rows = some.repartition("chunk").mapInPandas(_sum_chunks, schema).orderBy("chunk").collect()
-    if not rows:
-        return Network(vocab.edge + 1)
-    return Network(vocab.edge + 1, np.concatenate([np.array(r["sums"]) / r["weight"] for r in rows]))
+    net = network(vocab)
+    for r in rows[1:]:
+        net.flat[r["chunk"] * CHUNK :][: len(r["sums"])] += np.array(r["sums"]) / rows[0]["weight"]
+    return net
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over all words) and mean_log_likelihood (0 for no words)."""
-    vocab = vocabulary(docs)
+    vocab, counts = vocabulary(docs)
     net = train(docs, vocab)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))
+    names = ["row", "doc_id", "n_tokens", "total", "words", "times"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, flat = shared.value
-        net = Network(vocab.edge + 1, flat)
+        net = network(vocab, flat)
+        row, rows, held = TaskContext.get().partitionId() << 33, [], 0
         for part in parts:
-            rows = []
-            for text in part["text"]:
-                ids = vocab.encode(text)
+            for doc_id, text in zip(part["doc_id"].astype("Int64"), part["text"]):
+                words = tokens(text)
+                ids = vocab.ids_of(words)
                 total = 0.0
+                windows = vocab.windows(ids)
                 for s in range(0, len(ids), 8 * BATCH):
-                    near = vocab.windows(ids)[s : s + 8 * BATCH] if len(ids) > 8 * BATCH else vocab.windows(ids)
                     now = ids[s : s + 8 * BATCH]
-                    _, z = net.forward(near)
+                    _, z = net.forward(windows[s : s + 8 * BATCH])
                     total += float(z[np.arange(len(now)), vocab.cls[now]].sum(dtype=np.float64) + vocab.log_share[now].sum())
-                rows.append((len(ids), total, total / len(ids) if len(ids) else 0.0))
-            out = pd.DataFrame(rows, columns=["n_tokens", "log_likelihood", "mean_log_likelihood"])
-            out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+                rare = Counter(words[i] for i in np.flatnonzero(ids >= vocab.size))
+                rows.append((row, doc_id, len(ids), total, list(rare), list(rare.values())))
+                row, held = row + 1, held + len(rare)
+                if held >= HELD or len(rows) >= HELD:
+                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
+    # Stored, so that a row keeps its number; then every rare word meets its own count.
+    scored = store(docs.select("doc_id", "text").mapInPandas(run, "row long, doc_id long, n_tokens long, total double, words array<binary>, times array<int>"), "scored")
+    met = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    own = met.join(counts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("own"))
+    whole = F.col("total") + F.coalesce("own", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).otherwise(F.lit(0.0))
+    return scored.select("row", "doc_id", "n_tokens", "total").join(own, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
