@@ -253,3 +253,20 @@ def test_language_model_keeps_the_count_of_every_word(spark, monkeypatch):
     assert set(vocab.ids) == {b"the", b"of", b"often"} and counts.count() == 4
     monkeypatch.setattr(L, "MIN_COUNT", 1)
     assert set(L.vocabulary(df)[0].ids) == {b"the", b"of", b"often", b"seldom"}
+
+
+@pytest.mark.parametrize("hot", ["copied passage " * 3, None])
+def test_shards_stay_even_with_a_large_group(spark, hot):
+    """A third of all rows have one text: the shards' bytes and the ranges' rows stay even."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.concat(F.lit("a text of its own, number "), F.col("id").cast("string"), F.lit(" of many"))).alias("text"))
+    placed = H.place(docs, 8)
+    rows = placed.select("row.doc_id", "size", "shard", "slot").collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(6000))
+    total = sum(r["size"] for r in rows)
+    for s in range(8):
+        own = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 8) < 0.02 * total / 8 + 100
+    narrow = docs.select(H._key().alias("key"), F.xxhash64("doc_id").alias("sub"), F.lit(1).cast("long").alias("size"))
+    cuts = [0, *[n for *_, n in H.cuts_of(narrow, 8)], 6000]
+    assert max(b - a for a, b in zip(cuts, cuts[1:])) < 800

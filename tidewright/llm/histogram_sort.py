@@ -1,15 +1,20 @@
 """Sharding by histogram sort.
 
-Rows are ordered by a 64-bit hash of their text, so equal texts stay together.
+Rows are ordered by a 64-bit hash of their text, then by one of the whole row, so
+equal texts stay together unless their group is too large for an even cut.
 Splitters between shards start as candidate key boundaries; exact bytes and
 rows below each are counted over all partitions, and every interval that still
 holds a wanted cut is probed again more finely, until the cuts are within the
-tolerance or fall between two neighbouring keys.  Then rows are exchanged once
-and numbered in order within ranges whose sizes are known from the counts.
-
-Defined cases: a null text counts as 1 byte and sits with other nulls; equal
-texts are never parted, so a shard can miss its even share by the size of one
-group of copies; with fewer texts than shards some shards are empty; an empty
+tolerance or fall between two neighbouring keys.  A cut that misses by more than
+GROUP_SHARE of a shard is then sought in the same way by the second hash, inside
+the group of copies that it falls in.  Ranges of the exchange are cut by bytes
+and rows alike, so that neither long nor many short texts fill one.  Then rows
+are exchanged once and numbered in order within ranges whose sizes are known
+from the counts.
+
+Defined cases: a null text counts as 1 byte and sits with other nulls; rows
+that are equal in all columns cannot be told apart and are never parted; a shard
+can miss its even share by GROUP_SHARE or the size of one row; with fewer texts than shards some shards are empty; an empty
 table gives an empty result; further columns stay in ``place``.
 """
 
@@ -25,8 +30,11 @@ from tidewright.llm.common import store
 #: Intervals that one probed interval is divided into, by the next bits of the key.
 STEP_BITS = 8
 TOLERANCE = 0.0005
+#: A cut goes through a group of copies where it would miss by more than this share of a shard or range.
+GROUP_SHARE = 0.01
 #: Bytes of text in one range of the exchange, and the most ranges a shard gets.
 RANGE_BYTES, MOST_RANGES = 64 << 20, 512
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _key(text: str = "text") -> Column:
@@ -41,16 +49,18 @@ def _counts(rows: DataFrame, shift: int, open_: list[int] | None) -> dict[int, t
     return {r["cell"]: (r["b"], r["n"]) for r in got}
 
 
-def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list[tuple[int, int, int]]:
+def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE, goals: list[float] | None = None) -> list[tuple[int, int, int]]:
     """(key, bytes below, rows below) of the ``parts`` - 1 cuts; ``rows`` has key and size.
 
+    With ``goals`` (bytes below each cut) the tolerance is in bytes.
+
     Each pass collects at most parts * 2**STEP_BITS counts.
     """
     shift = 64 - STEP_BITS
     cells = {c: v for c, v in _counts(rows, shift, None).items()}
     total = sum(b for b, _ in cells.values())
-    goals = [total * i / parts for i in range(1, parts)]
-    slack = tolerance * total / parts
+    slack = tolerance if goals is not None else tolerance * total / parts
+    goals = [total * i / parts for i in range(1, parts)] if goals is None else goals
     best: dict[int, tuple[int, int, int]] = {}
     pending: dict[int, tuple[int, int, int]] = {}
 
@@ -85,20 +95,53 @@ def splitters(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list
     return [best[g] for g in range(len(goals))]
 
 
+def _inside(rows: DataFrame, cuts: list[tuple[int, int, int]], goals: list[float], slack: float) -> list[tuple[int, int, int, int]]:
+    """(key, sub, bytes below, rows below): cuts that miss their goal by more than ``slack`` move into the group they miss by."""
+    found = [(k, LEAST, b, n) for k, b, n in cuts]
+    # A cut stands before or behind the group that holds its goal; its neighbour key is that group.
+    missed = [g for g, c in enumerate(cuts) if abs(c[1] - goals[g]) > slack]
+    if not missed:
+        return found
+    near = [F.when(F.lit(cuts[g][1] > goals[g]), F.max(F.when(F.col("key") < F.lit(cuts[g][0]), F.col("key")))).otherwise(F.min(F.when(F.col("key") >= F.lit(min(cuts[g][0], MOST)), F.col("key")))).alias(f"k{g}") for g in missed]
+    group = dict(zip(missed, rows.agg(*near).first()))
+    keys = sorted({k for k in group.values() if k is not None})
+    below = rows.agg(*[F.sum(F.when(F.col("key") < F.lit(k), F.col("size")).otherwise(0)) for k in keys], *[F.sum(F.when(F.col("key") < F.lit(k), 1).otherwise(0)) for k in keys]).first()
+    for i, key in enumerate(keys):
+        own = [g for g in missed if group[g] == key]
+        part = rows.filter(F.col("key") == F.lit(key)).select(F.col("sub").alias("key"), "size")
+        b0, n0 = below[i], below[len(keys) + i]
+        inner = splitters(part, 2, slack, [goals[g] - b0 for g in own])
+        for g, (sub, b, n) in zip(own, inner):
+            if abs(b0 + b - goals[g]) < abs(found[g][2] - goals[g]):
+                found[g] = (key, sub, b0 + b, n0 + n)
+    return found
+
+
+def cuts_of(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list[tuple[int, int, int, int]]:
+    """Cuts into ``parts`` of even size; ``rows`` has key, sub and size."""
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
+    goals = [total * i / parts for i in range(1, parts)]
+    return _inside(rows, splitters(rows, parts, tolerance), goals, GROUP_SHARE * total / parts) if total else []
+
+
 def place(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
     """All columns of ``docs`` in struct ``row``, plus size, key, shard and slot.
 
-    Every shard is cut into ranges of about RANGE_BYTES by the same splitters, so
-    the one exchange deals to many tasks and each knows the slots before it.
+    Every shard is cut into ranges of RANGE_BYTES at most, unless one row is
+    longer, so the one exchange deals to many tasks and each knows the slots
+    before it.
     """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), _key().alias("key"))
-    narrow = store(keyed.select("key", "size"), "keys")
-    total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
-    per = max(1, min(MOST_RANGES, -(-total // (shards * RANGE_BYTES))))
-    cuts = splitters(narrow, shards * per, tolerance) if total else []
-    keys = [min(k, (1 << 63) - 1) for k, _, _ in cuts]
-    starts = [0, *[n for _, _, n in cuts]]
-    base = [starts[i] - starts[i // per * per] for i in range(len(starts))]
+    keyed = keyed.withColumn("sub", F.xxhash64("row"))
+    narrow = store(keyed.select("key", "sub", "size"), "keys")
+    total, n_rows = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    outer = cuts_of(narrow, shards, tolerance)
+    # Half of a range's weight is its bytes, half its rows: of both it has at most twice an even share.
+    per = max(2, 2 * min(MOST_RANGES, -(-total // (shards * RANGE_BYTES))))
+    even = narrow.select("key", "sub", (F.col("size") * n_rows + total).cast("double").alias("size")) if total else narrow
+    marks = {c[:2] for c in outer} | {c[:2] for c in cuts_of(even, shards * per, 0.05)}
+    keys = sorted((min(k, MOST), s) if k <= MOST else (MOST, MOST) for k, s in marks)
+    home = [sum((c[0], c[1]) <= k for c in outer) for k in keys]
     part = F.lit(0)
     if keys:
         # Position among the sorted cuts, as a balanced tree of comparisons.
@@ -106,13 +149,22 @@ def place(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE) -> Dat
             if lo == hi:
                 return F.lit(lo)
             mid = (lo + hi) // 2
-            return F.when(F.col("key") < F.lit(keys[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+            before = (F.col("key") < F.lit(keys[mid][0])) | ((F.col("key") == F.lit(keys[mid][0])) & (F.col("sub") < F.lit(keys[mid][1])))
+            return F.when(before, tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
         part = tree(0, len(keys))
+    held = dict(narrow.groupBy(part.alias("part")).count().collect())
+    shard_of = [0, *home]
+    base, before, last = [], 0, 0
+    for i, shard in enumerate(shard_of):
+        before = 0 if shard != last else before
+        base.append(before)
+        before, last = before + held.get(i, 0), shard
+    at = lambda values: F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("part"))
     ranged = keyed.withColumn("part", part)
-    order = Window.partitionBy("part").orderBy("key", F.col("row.doc_id"), F.xxhash64("row"))
-    slot = F.row_number().over(order).cast("long") - 1 + F.get(F.array(*[F.lit(int(b)).cast("long") for b in base]), F.col("part"))
-    return ranged.select("row", "size", "key", F.floor(F.col("part") / per).cast("int").alias("shard"), slot.alias("slot"))
+    order = Window.partitionBy("part").orderBy("key", "sub", F.col("row.doc_id"))
+    slot = F.row_number().over(order).cast("long") - 1 + at(base)
+    return ranged.select("row", "size", "key", at(shard_of).cast("int").alias("shard"), slot.alias("slot"))
 
 
 def range_of(key: int, cuts: list[int]) -> int:
