@@ -74,3 +74,11 @@ def test_bad_template_is_rejected(spark):
     out = U.filter_urls(pages, labels).collect()
     assert all((r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in out)
     assert {r["template"] for r in out} == {"site.io/spam/*/*", "site.io/news/*/*"}
+
+
+def test_deep_and_unlabelled_branches_get_their_own_verdict(spark):
+    urls = [f"http://site.io/a/b/c/d/{'spam' if i % 2 else 'news'}/x" for i in range(200)] + ["http://bad.io/spam/x"] * 100 + ["http://bad.io/clean/x"] * 50 + ["http://ok.io/x"] * 200
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = pages.filter("url not like '%clean%'").select("page_id", F.col("url").contains("spam").alias("bad"))
+    out = {r["page_id"]: r["verdict"] for r in U.filter_urls(pages, labels).collect()}
+    assert all((out[i] == "block") == ("spam" in u) for i, u in enumerate(urls))

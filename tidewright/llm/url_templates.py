@@ -2,15 +2,16 @@
 
 A url's path is read as segments.  Level by level, under one host and template
 prefix, a segment position whose values hardly repeat becomes a wildcard; so
-does every segment with a digit.  Sibling templates of one parent whose
-labelled shares don't differ significantly are merged into the parent's pool.
+does every segment with a digit.  From the leaves upwards, sibling branches whose
+labelled shares don't differ significantly from the rest are merged into their
+parent; those that do stand alone and count for nobody else.
 A template is rejected when its share of bad labels, smoothed towards the share
 over all labels, reaches the purity; stated rules go before.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, one
 root template and no labels of its own; without labels the global share is 0
-and nothing is rejected; repeated urls count once per row; segments below
-``DEPTH`` are one ``**``; an empty table gives an empty result.
+and nothing is rejected; repeated urls count once per row; the tree is as deep
+as the longest path of the table; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import store
 
+#: Levels that the SQL form in oracle.py spells out; the operator itself goes to the counted depth.
 DEPTH = 4
 #: A position is a wildcard when it has more values than this and fewer than REPEAT rows a value.
 FEW_VALUES, REPEAT = 8, 3.0
@@ -55,7 +57,7 @@ def rule_choice(rules=RULES) -> Column:
     return choice if choice is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(pages: DataFrame) -> DataFrame:
     """``pages`` (with host and path) plus parent and template (host + generalised path).
 
     Every level groups once by (host, prefix, segment) and once by (host,
@@ -64,8 +66,8 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     shaped = F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
-    deep = F.when(F.size(shaped) > depth, F.concat(F.slice(shaped, 1, depth), F.array(F.lit("**")))).otherwise(shaped)
-    rows = pages.withColumn("_segments", deep).withColumn("_prefix", F.col("host")).withColumn("_parent", F.col("host"))
+    rows = pages.withColumn("_segments", shaped).withColumn("_prefix", F.col("host")).withColumn("_parent", F.col("host"))
+    depth = pages.agg(F.max(F.size(segments))).first()[0] or 0
     salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS))
     for level in range(depth):
         here = F.get("_segments", F.lit(level))
@@ -80,24 +82,51 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             .drop("_wild"),
             "templates",
         )
-    last = F.when(F.size("_segments") > depth, F.concat("_prefix", F.lit("/**"))).otherwise(F.col("_prefix"))
-    return rows.withColumn("template", last).withColumn("parent", F.col("_parent")).drop("_segments", "_prefix", "_parent")
+    return rows.withColumn("template", F.col("_prefix")).withColumn("parent", F.col("_parent")).drop("_segments", "_prefix", "_parent")
 
 
 def verdicts(labelled: DataFrame) -> DataFrame:
-    """(template, rejected) from rows with parent, template and bad (boolean, null: no label)."""
+    """(parent, template, rejected) from rows with parent, template and bad (boolean, null: no label).
+
+    From the leaves upwards a branch that differs from the rest of its siblings
+    stands alone; the others' labels go to their parent, which is then compared
+    in its turn.  A branch that was merged has the verdict of its parent.
+    """
     known = F.when(F.col("bad").isNotNull(), 1).otherwise(0)
     bad = F.when(F.col("bad"), 1).otherwise(0)
-    branch = labelled.groupBy("parent", "template").agg(F.sum(known).alias("n"), F.sum(bad).alias("k"))
-    pool = branch.groupBy("parent").agg(F.sum("n").alias("pn"), F.sum("k").alias("pk"))
-    overall = branch.agg((F.sum("k") / F.greatest(F.sum("n"), F.lit(1))).alias("rate"))
-    both = branch.join(pool, "parent").join(F.broadcast(overall))
-    p = F.col("pk") / F.greatest("pn", F.lit(1))
-    off = F.abs(F.col("k") - F.col("n") * p)
-    alone = off > Z_MERGE * F.sqrt(F.greatest(F.col("n") * p * (1 - p), F.lit(0.25)))
-    n, k = F.when(alone, F.col("n")).otherwise(F.col("pn")), F.when(alone, F.col("k")).otherwise(F.col("pk"))
-    share = (k + PRIOR * F.coalesce("rate", F.lit(0.0))) / (n + PRIOR)
-    return both.select("parent", "template", (share >= PURITY).alias("rejected"))
+    level = F.size(F.split("template", "/")) - 1
+    leaves = store(labelled.groupBy("parent", "template").agg(F.sum(known).alias("n"), F.sum(bad).alias("k")).withColumn("level", level), "leaves")
+    deepest, total, worst = leaves.agg(F.max("level"), F.sum("n"), F.sum("k")).first()
+    rate = (worst or 0) / max(total or 0, 1)
+    share = (F.col("k") + PRIOR * rate) / (F.col("n") + PRIOR)
+    up, levels = None, []
+    for d in range(deepest or 0, -1, -1):
+        here = leaves.filter(F.col("level") == d).select("template", "n", "k")
+        nodes = (here if up is None else here.unionByName(up)).groupBy("template").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        nodes = nodes.withColumn("above", F.regexp_replace("template", r"(?s)/[^/]*$", "")).withColumn("rejected", share >= PURITY)
+        if d:
+            pool = nodes.groupBy("above").agg(F.sum("n").alias("pn"), F.sum("k").alias("pk"))
+            rest = F.col("pn") - F.col("n") + PRIOR
+            p = (F.col("pk") - F.col("k") + PRIOR * rate) / rest
+            off = F.abs(F.col("k") - F.col("n") * p)
+            alone = off > Z_MERGE * F.sqrt(F.greatest(F.col("n") * p * (1 - p) * (1 + F.col("n") / rest), F.lit(0.25)))
+            nodes = nodes.join(pool, "above").withColumn("alone", alone)
+        else:
+            nodes = nodes.withColumn("alone", F.lit(True))
+        nodes = store(nodes.select("above", "template", "n", "k", "rejected", "alone"), "nodes")
+        up = nodes.filter("not alone").groupBy(F.col("above").alias("template")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        levels.append(nodes)
+    known_above, judged = None, []
+    for nodes in reversed(levels):
+        if known_above is not None:
+            nodes = nodes.join(known_above.select(F.col("template").alias("above"), F.col("rejected").alias("theirs")), "above", "left")
+            nodes = nodes.withColumn("rejected", F.when(F.col("alone"), F.col("rejected")).otherwise(F.col("theirs")))
+        known_above = store(nodes.select("template", "rejected"), "judged")
+        judged.append(known_above)
+    whole = judged[0]
+    for j in judged[1:]:
+        whole = whole.union(j)
+    return leaves.select("parent", "template").join(whole, "template")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
