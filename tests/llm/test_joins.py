@@ -61,6 +61,32 @@ def test_families_match_brute_force(spark, monkeypatch):
     check(spark, docs)
 
 
+def test_cells_in_blocks_match_brute_force(spark, monkeypatch):
+    """Large families, hot shingles and groups of several members, with all marks small enough to be passed."""
+    for name, value in (("LONG", 4), ("BLOCK_SETS", 7), ("BLOCK_SHINGLES", 900), ("UNDER_LEAD", 3), ("HOT", 30), ("LOCAL", 2)):
+        monkeypatch.setattr(J, name, value)
+    rng = random.Random(11)
+    docs = []
+    for f in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range((120, 60, 40)[f])]
+        docs += family(rng, base, 50, 1000 * f, (8, 6, 3)[f])
+    # Many unlike documents with one passage, chained by a second one, and members that differ only in frequent shingles.
+    passage, other = [f"p{i}" for i in range(50)], [f"o{i}" for i in range(50)]
+    docs += [(5000 + i, " ".join([f"q{i}x{k}" for k in range(i % 9)] + passage + (other if i % 2 else []))) for i in range(45)]
+    docs += [(6000 + i, " ".join([f"u{i // 6}y{k}" for k in range(30)] + passage[: 20 + i % 6] + other[i % 6 : 20])) for i in range(36)]
+    docs += [(7000 + i, " ".join(f"long{i // 2}z{k}" for k in range(3000 + 5 * (i % 2)))) for i in range(4)]
+    rng.shuffle(docs)
+    check(spark, docs)
+
+
+def test_lists_by_list_where_that_is_less(spark, monkeypatch):
+    """A chain of lists that overlap in one document each is not made one cell."""
+    monkeypatch.setattr(J, "LONG", 3)
+    rows = [(10 * t, 10 * i, 10 * t, 10) for t in range(20) for i in range(t * 9, t * 9 + 10)]
+    cells = J._long_cells(spark.createDataFrame([(t, g, 90 * (t // 10), n) for t, g, _, n in rows], "token long, g long, head long, length long")).collect()
+    assert {c["kind"] for c in cells} == {1} and len(cells) >= len(rows)
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     got = {r["doc_id"]: r["component_id"] for r in J.similar_components(odd_docs).collect()}
     assert (got[1], got[2], got[3], got[4], got[5], got[6], got[7], got[9], got[11], got[None]) == (1, 1, 1, 4, 5, 6, 7, 9, 9, None)

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-#: Id lists up to this many rows (8 bytes each, 16 MB) may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Tables of up to so many bytes, by counted rows and their width, may be broadcast.
+BROADCAST_BYTES = 16_000_000
+#: Texts that a worker looks at together.
+TEXTS = 512
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +48,35 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_ids(df: DataFrame, ids: DataFrame, n_ids: int, on: str, how: str) -> DataFrame:
-    """Join a large table with an id-keyed one: broadcast when the counted rows are few, else shuffled."""
-    return df.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids.hint("merge"), on, how)
+def join_ids(df: DataFrame, ids: DataFrame, n_ids: int, on: str | list[str], how: str, width: int = 8) -> DataFrame:
+    """Join a large table with a keyed one of ``n_ids`` rows of ``width`` bytes: broadcast when these are few, else shuffled."""
+    return df.join(F.broadcast(ids) if n_ids * width <= BROADCAST_BYTES else ids.hint("merge"), on, how)
+
+
+def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], dict]], added: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``keep`` columns of ``docs`` (all by default) and the ``added`` ones, which a worker's function makes from lists of texts.
+
+    ``start`` is called once a task.  Its function gets a list of texts and returns lists by column name, and under
+    ``None`` the positions of the texts that the rows come from, where they are not one for each text.
+    The kept columns never leave Arrow, so ids and other values stay as they are whatever nulls stand beside them.
+    """
+    keep = docs.columns if keep is None else keep
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
+    new = StructType.fromDDL(added)
+    schema = StructType([*docs.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, *new.fields])
+    arrow = to_arrow_schema(new)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for part in parts:
+            for s in range(0, part.num_rows, TEXTS):
+                now = part.slice(s, TEXTS)
+                made = work(now.column(now.num_columns - 1).to_pylist())
+                kept = pa.RecordBatch.from_arrays(now.columns[:-1], schema=pa.schema(list(now.schema)[:-1]))
+                at = made.pop(None, None)
+                if at is not None:
+                    kept = kept.take(pa.array(at, pa.int64()))
+                cells = [pa.array(made[f.name], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *cells], schema=pa.schema([*kept.schema, *arrow]))
+
+    return source.mapInArrow(run, schema)
