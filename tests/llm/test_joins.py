@@ -63,7 +63,7 @@ def test_families_match_brute_force(spark, monkeypatch):
 
 def test_cells_in_blocks_match_brute_force(spark, monkeypatch):
     """Large families, hot shingles and groups of several members, with all marks small enough to be passed."""
-    for name, value in (("LONG", 4), ("BLOCK_SETS", 7), ("BLOCK_SHINGLES", 900), ("UNDER_LEAD", 3), ("HOT", 30), ("LOCAL", 2)):
+    for name, value in (("LONG", 4), ("BLOCK_SETS", 7), ("BLOCK_SHINGLES", 900), ("UNDER_LEAD", 3), ("HOT", 30), ("LEAST", 2), ("BLOCK", 3000)):
         monkeypatch.setattr(J, name, value)
     rng = random.Random(11)
     docs = []
