@@ -10,22 +10,24 @@ Training uses a bounded sample of the labelled rows outside the held-out fold:
 the SAMPLE rows with the smallest id hashes.  Everything else reads all rows.
 
 Defined cases: a null or empty text has all features 0 and is scored like any
-other; without labels, or with one class only, every score is the smoothed
-share of label 1; repeated rows are scored row by row; other columns are ignored.
+other; a very long text is measured whole; without labels, or with one class
+only, every score is the smoothed share of label 1; repeated rows and null ids
+are scored row by row; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import map_texts
+
 #: Most labelled rows that are learnt from.
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 4, 2
@@ -171,20 +173,23 @@ def train(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     return model
 
 
-def _feature_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        yield pd.DataFrame({"quality": part["quality"], "x": [features(t) for t in part["text"]]})
+def _matrix(texts: list) -> np.ndarray:
+    return np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
-    """A model from at most ``sample`` labelled rows outside the held-out fold; a document with several labels takes the lowest."""
+    """A model from at most ``sample`` labelled rows outside the held-out fold.
+
+    A document with several labels takes the lowest; of rows that repeat a
+    doc_id the first text in order is learnt from, so the bound holds for rows.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    got = rows.select("quality", "text").mapInPandas(_feature_rows, "quality int, x array<double>").toPandas()
-    if not len(got):
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("quality").cast("int").alias("quality"), F.min("text").alias("text"))
+    got = map_texts(rows, lambda: lambda texts: {"x": list(_matrix(texts))}, "x array<double>", ["quality"]).toArrow()
+    if not got.num_rows:
         return AdditiveModel()
-    x, y = np.stack(got["x"]), got["quality"].to_numpy(float)
+    x, y = np.array(got["x"].to_pylist()), got["quality"].to_numpy().astype(float)
     # The order of rows must not change the sums.
     order = np.lexsort((*x.T, y))
     return train(x[order], y[order])
@@ -192,14 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveM
 
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            x = np.array([features(t) for t in part["text"]]).reshape(-1, len(FEATURES))
-            s = model.scores(x)
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "score": s, "predicted": (s >= CUT).astype(np.int32)})
-
-    return docs.select("doc_id", "text", (fold() == HELD_OUT).alias("held_out")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    scored = map_texts(docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "text"), lambda: lambda texts: {"score": model.scores(_matrix(texts))}, "score double", ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -207,12 +206,17 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are predicted 1, all columns unchanged, each judged by its own text."""
-    model = learn(docs, labels, sample)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            x = np.array([features(t) for t in part["text"]]).reshape(-1, len(FEATURES))
-            yield part[model.scores(x) >= CUT]
+    """The rows of ``docs`` that are predicted 1, all columns unchanged, each judged by its own text.
 
-    return docs.mapInPandas(run, docs.schema)
+    Where nothing was learnt (no labels, or all of one class) there is no
+    evidence against any row and all stay.  Null and empty texts are judged like
+    others; repeated rows and null ids row by row; an empty table stays empty.
+    """
+    model = learn(docs, labels, sample)
+    if not model.tables:
+        return docs
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    scored = map_texts(docs, lambda: lambda texts: {name: model.scores(_matrix(texts))}, f"`{name}` double")
+    return scored.filter(F.col(name) >= CUT).drop(name)

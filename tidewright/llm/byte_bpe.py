@@ -5,10 +5,14 @@ encoding.  The table of these last tokens is filled left to right: a token that
 ends the prefix is the one if it is compatible with the last token of what
 stands before it, that is, if the two encode to themselves side by side.
 Appending bytes extends the table; an edit keeps the table up to the edited
-place.  Walking the table backwards gives the encoding.
+place and from where it comes out the same again.  Walking the table backwards gives the encoding.
 
 Texts are cut into pieces that the pattern treats alike on their own, pieces
-are encoded once per worker and kept in a bounded cache.
+are encoded once per worker and kept in a cache bounded by bytes.
+
+Defined cases: a null text is an empty one and has no tokens; a very long text,
+or match, is encoded whole; repeated rows and null ids give a row each; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +22,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces kept by a worker; the cache starts anew when full.
-CACHE = 600_000
+from tidewright.llm.common import Cache, map_texts
+
+#: Bytes of pieces that a worker keeps in each of two generations.
+CACHE = 40_000_000
 
 
 class Ranks:
@@ -33,6 +38,7 @@ class Ranks:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {r: t for t, r in self.rank.items()}
+        self.longest = max(map(len, self.rank))
         lengths: dict[bytes, set[int]] = {}
         for t in self.rank:
             if len(t) > 2:
@@ -155,10 +161,27 @@ class PrefixEncoder:
                 raise ValueError("no token ends this prefix")
 
     def edit(self, begin: int, end: int, new: bytes) -> None:
-        """Replace bytes begin to end; prefixes up to ``begin`` keep their entries."""
-        tail = self.text[end:]
+        """Replace bytes begin to end; prefixes up to ``begin`` keep their entries, and so do those from where the old table resumes.
+
+        An entry looks back no further than the longest token: once as many
+        entries in a row as that are the old ones, all that follow are.
+        """
+        tail, old = self.text[end:], self.last[end:]
+        reach = self.ranks.longest
         self.text, self.last = self.text[:begin], self.last[: begin + 1]
-        self.append(new + tail)
+        self.append(new)
+        same, at = 0, 0
+        while at < len(tail):
+            step = min(64, len(tail) - at)
+            self.append(tail[at : at + step])
+            for i in range(at + 1, at + step + 1):
+                token = self.last[len(self.last) - 1 - (at + step - i)]
+                same = same + 1 if token == old[i] else 0
+            at += step
+            if same >= reach:
+                self.text += tail[at:]
+                self.last += old[at + 1 :]
+                return
 
     def tokens(self) -> list[int]:
         out, at = [], len(self.text)
@@ -177,17 +200,15 @@ class TextEncoder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = Ranks(path), regex.compile(pattern)
-        self._seen: dict[str, tuple[int, ...]] = {}
-        self._words: dict[str, tuple[str, int, bytes]] = {}
+        self._seen, self._words = Cache(CACHE), Cache(CACHE)
 
     def match(self, piece: str) -> tuple[int, ...]:
         known = self._seen.get(piece)
         if known is None:
-            if len(self._seen) >= CACHE:
-                self._seen.clear()
             raw = piece.encode("utf-8", "replace")
             whole = self.ranks.rank.get(raw)
-            known = self._seen[piece] = (whole,) if whole is not None else tuple(PrefixEncoder(self.ranks, raw).tokens())
+            known = (whole,) if whole is not None else tuple(PrefixEncoder(self.ranks, raw).tokens())
+            self._seen.put(piece, known, 2 * len(raw) + 40 * len(known))
         return known
 
     def encode(self, text: str) -> list[int]:
@@ -201,10 +222,10 @@ class TextEncoder:
         return ",".join(map(str, ids)), len(ids), self.decode(ids)
 
     def _spaced(self, word: str) -> tuple[str, int, bytes]:
-        out = self._word(" " + word)
-        if len(self._words) >= CACHE:
-            self._words.clear()
-        self._words[word] = out
+        out = self._words.get(word)
+        if out is None:
+            out = self._word(" " + word)
+            self._words.put(word, out, 150 + 2 * len(out[2]) + len(out[0]))
         return out
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
@@ -221,8 +242,10 @@ class TextEncoder:
             parts = [self._word(text)]
         else:
             first, *words = text.split(" ")
-            known, learn = self._words.get, self._spaced
-            parts = [self._word(first), *[known(w) or learn(w) for w in words]]
+            parts, learn = [self._word(first)], self._spaced
+            for s in range(0, len(words), 4096):
+                known = self._words.young.get
+                parts += [known(w) or learn(w) for w in words[s : s + 4096]]
         ids = ",".join([p[0] for p in parts])
         return sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()
 
@@ -240,37 +263,33 @@ def encoder(path: str, pattern: str) -> TextEncoder:
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, tokens (array<int>): the encoding of every whole text, a null or empty one giving no tokens."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         enc = encoder(path, pattern)
-        for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "tokens": [np.array(enc.encode(t or ""), np.int32) for t in part["text"]]})
+        return lambda texts: {"tokens": [np.array(enc.encode(t or ""), np.int32) for t in texts]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, tokens array<int>")
+    return map_texts(docs, start, "tokens array<int>", ["doc_id"])
 
 
 def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, bytes: the exact bytes that the tokens of every document stand for."""
+    """doc_id, bytes: the exact bytes that the tokens of every document stand for; null tokens stand for none."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         enc = encoder(path, pattern)
-        for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "bytes": [enc.decode(t if t is not None else ()) for t in part["tokens"]]})
+        return lambda ids: {"bytes": [enc.decode(t or ()) for t in ids]}
 
-    return tokens.select("doc_id", "tokens").mapInPandas(run, "doc_id long, bytes binary")
+    return map_texts(tokens, start, "bytes binary", ["doc_id"], "tokens")
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding of every whole text, as digests.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding of every whole text, as digests."""
 
-    A null text is an empty one; repeated rows give repeated rows; other columns are ignored.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         enc = encoder(path, pattern)
-        for part in parts:
-            rows = [enc.digest(t) for t in part["text"]]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
-            yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def work(texts: list) -> dict:
+            rows = [enc.digest(t) for t in texts]
+            return {c: [r[i] for r in rows] for i, c in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
+
+        return work
+
+    return map_texts(docs, start, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])

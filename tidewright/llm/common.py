@@ -80,3 +80,24 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], dict]], adde
                 yield pa.RecordBatch.from_arrays([*kept.columns, *cells], schema=pa.schema([*kept.schema, *arrow]))
 
     return source.mapInArrow(run, schema)
+
+
+class Cache:
+    """Values by key in two generations, each bounded by the bytes its entries are counted with; the older one goes when the younger is full."""
+
+    def __init__(self, most: int = 30_000_000):
+        self.most, self.young, self._old, self._held = most, {}, {}, 0
+
+    def get(self, key):
+        """The value or None; one of the older generation becomes young again."""
+        found = self.young.get(key)
+        if found is None and (found := self._old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value, size: int = 0) -> None:
+        """``size``: bytes of key and value beside their objects."""
+        if self._held > self.most:
+            self.young, self._old, self._held = {}, self.young, 0
+        self.young[key] = value
+        self._held += 180 + (size or 2 * len(key))

@@ -14,7 +14,8 @@ tables counts in the first.  Large cells are cut into blocks, and every pair of
 blocks is a group of its own.  Groups return sums of links and a spanning forest,
 never their pairs.
 
-Defined cases: equal vectors are collapsed before and linked with each other;
+Defined cases: equal vectors are collapsed before and linked with each other,
+repeated rows among them; extra columns are ignored;
 null, zero or empty vectors and those with a null or non-finite component link
 with nothing; vectors of different lengths are not compared; a null vec_id gets
 no component and isn't kept; an empty table gives an empty result.
@@ -27,19 +28,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import join_ids, store
+from tidewright.llm.common import join_ids, map_texts, store
 from tidewright.llm.components import connected_components, local_forest
 
 THRESHOLD = 0.95
 #: Lines on which collisions are counted, half of a window's width in standard deviations of a pair at the threshold, and the share of such pairs that must reach the count.
-LINES, WINDOW, RECALL = 48, 1.3, 0.995
+LINES, WINDOW, RECALL = 32, 1.3, 0.995
 #: Tables of cells, strips that make a cell, and a strip's width where a random pair differs by sqrt(2) on average.
-TABLES, STRIPS, WIDTH = 10, 8, 2.4
+TABLES, STRIPS, WIDTH = 8, 8, 2.4
 #: Vectors in one block of a cell.
 BLOCK = 1024
 
@@ -69,35 +69,37 @@ def _unit(values: np.ndarray) -> np.ndarray | None:
     return v / np.sqrt(v @ v)
 
 
-def _clean(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digests(vectors: list) -> dict:
     """Digest of each usable vector, null for the others."""
-    for part in parts:
-        keys = []
-        for e in part["embedding"]:
-            v = None if e is None else np.array([np.nan if x is None else x for x in e], np.float64)
-            ok = v is not None and _unit(v) is not None
-            keys.append(hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() if ok else None)
-        yield part.assign(digest=keys)[["vec_id", "embedding", "digest"]]
-
-
-def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per vector and table, with the keys of its cells in all tables."""
-    for part in parts:
-        out = []
-        for dim, same in part.groupby(part["embedding"].map(len), sort=False):
-            x = np.stack([_unit(np.asarray(e)) for e in same["embedding"]])
-            at = x @ _lines(dim, TABLES * STRIPS, 1)
-            shift = np.random.default_rng([20240612, dim]).uniform(0, WIDTH, TABLES * STRIPS)
-            strip = np.ascontiguousarray(np.floor((at + shift) / WIDTH).astype(np.int64).reshape(len(x), TABLES, STRIPS).transpose(2, 0, 1))
-            key = np.broadcast_to(np.random.default_rng([20240613, dim]).integers(0, 2**64, TABLES, dtype=np.uint64), (len(x), TABLES))
-            for s in range(STRIPS):
-                key = (key + strip[s].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                key = key ^ (key >> np.uint64(29))
-            keys = key.view(np.int64)
-            for t in range(TABLES):
-                out.append(pd.DataFrame({"cell": keys[:, t], "at": np.int32(t), "id": same["id"].to_numpy(), "weight": same["weight"].to_numpy(), "keys": list(keys), "vector": list(x)}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+    keys = []
+    for e in vectors:
+        v = None if e is None else np.array([np.nan if x is None else x for x in e], np.float64)
+        ok = v is not None and _unit(v) is not None
+        keys.append(hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() if ok else None)
+    return {"digest": keys}
+
+
+def _keys(dim: int, x: np.ndarray) -> np.ndarray:
+    """The keys of the cells of unit vectors in all tables."""
+    at = x @ _lines(dim, TABLES * STRIPS, 1)
+    shift = np.random.default_rng([20240612, dim]).uniform(0, WIDTH, TABLES * STRIPS)
+    strip = np.ascontiguousarray(np.floor((at + shift) / WIDTH).astype(np.int64).reshape(len(x), TABLES, STRIPS).transpose(2, 0, 1))
+    key = np.broadcast_to(np.random.default_rng([20240613, dim]).integers(0, 2**64, TABLES, dtype=np.uint64), (len(x), TABLES))
+    for s in range(STRIPS):
+        key = (key + strip[s].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key = key ^ (key >> np.uint64(29))
+    return key.view(np.int64)
+
+
+def _cells(vectors: list) -> dict:
+    """Digest and cell keys of each usable vector, nulls for the others."""
+    out = {**_digests(vectors), "keys": [None] * len(vectors)}
+    usable = [i for i, d in enumerate(out["digest"]) if d is not None]
+    for dim in {len(vectors[i]) for i in usable}:
+        same = [i for i in usable if len(vectors[i]) == dim]
+        for i, k in zip(same, _keys(dim, np.stack([_unit(np.array(vectors[i])) for i in same]))):
+            out["keys"][i] = k
+    return out
 
 
 def _collisions(p: np.ndarray, q: np.ndarray, half: float) -> np.ndarray:
@@ -139,11 +141,15 @@ def _links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve() -> pa.RecordBatch | None:
         rows = pa.Table.from_batches(held)
+        # Rows that repeat a vector and its id are one.
+        _, once = np.unique(np.stack((rows["side"].to_numpy(), rows["id"].to_numpy())), axis=1, return_index=True)
+        rows = rows.take(pa.array(once))
         side = rows["side"].to_numpy()
         col = {"id": rows["id"].to_numpy(), "weight": rows["weight"].to_numpy()}
-        for c in ("keys", "vector"):
-            flat = rows[c].combine_chunks()
-            col[c] = flat.flatten().to_numpy().reshape(len(flat), -1)
+        flat = rows["keys"].combine_chunks()
+        col["keys"] = flat.flatten().to_numpy().reshape(len(flat), -1)
+        flat = rows["vector"].combine_chunks()
+        col["vector"] = np.stack([_unit(v) for v in flat.flatten().to_numpy().reshape(len(flat), -1)])
         left = {c: v[side == 0] for c, v in col.items()}
         right = {c: v[side == 1] for c, v in col.items()} if (side == 1).any() else None
         two = rows["two"][0].as_py()
@@ -169,7 +175,7 @@ def _links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         if not batch.num_rows:
             continue
-        k = np.stack([batch.column(c).to_numpy() for c in ("cell", "i", "j")])
+        k = np.stack([batch.column(c).to_numpy() for c in ("at", "cell", "i", "j")])
         cut = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for s, e in zip(cut[:-1], cut[1:]):
             now = tuple(k[:, s])
@@ -184,18 +190,27 @@ def _links(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
-    clean = store(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(_clean, "vec_id long, embedding array<double>, digest binary"), "vectors")
+    """One row per vector: vec_id, n_links, component_id, kept.
+
+    Vectors travel once, to their cells, in the type they are stored in; what is
+    written before is ids, digests and cell keys.
+    """
+    given = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
+    clean = store(map_texts(given, lambda: _cells, "digest binary, keys array<long>", ["vec_id"], "vector"), "vectors")
     usable = clean.filter("digest is not null and vec_id is not null")
-    classes = store(usable.groupBy("digest").agg(F.min(F.struct("vec_id", "embedding")).alias("m"), F.count("*").alias("weight")).select("digest", F.col("m.vec_id").alias("id"), F.col("m.embedding").alias("embedding"), "weight"), "classes")
-    rows = classes.select("id", "weight", "embedding").mapInPandas(_cells, "cell long, at int, id long, weight long, keys array<long>, vector array<double>")
-    rows = store(rows, "cells")
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    classes = store(usable.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("keys").alias("keys")), "classes")
+    n_classes = classes.count()
+    places = classes.select("id", F.posexplode("keys").alias("at", "cell"))
+    sizes = places.groupBy("at", "cell").agg(F.count("*").alias("n")).filter("n > 1").select("at", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     sizes = store(sizes, "cell-sizes")
-    cut = join_ids(rows, sizes, sizes.count(), "cell", "inner").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    wanted = join_ids(places, sizes, sizes.count(), ["at", "cell"], "inner", 24).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    to = F.struct("at", "cell", "block", "blocks")
+    wanted = store(wanted.groupBy("id").agg(F.collect_list(to).alias("to")).join(classes, "id").select(F.col("id").alias("vec_id"), "digest", "weight", "keys", "to"), "cells")
+    own = map_texts(given.select("vec_id", "vector", F.col("vector").alias("v")), lambda: _digests, "digest binary", ["vec_id", "vector"], "v")
+    cut = join_ids(own, wanted, n_classes, ["vec_id", "digest"], "inner", 60 + 36 * TABLES).select(F.explode("to").alias("to"), F.col("vec_id").alias("id"), "weight", "keys", "vector").select("to.*", "id", "weight", "keys", "vector")
     dealt = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = dealt.select("cell", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"), (F.col("block") != F.col("with")).alias("two"), "at", "id", "weight", "keys", "vector")
-    links = store(group.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_links, "u long, v long, links long"), "vector-links")
+    links = store(group.repartition("at", "cell", "i", "j").sortWithinPartitions("at", "cell", "i", "j").mapInArrow(_links, "u long, v long, links long"), "vector-links")
     counts = links.filter("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     parts = connected_components(links.filter("v is not null").select("u", "v"))
     of = classes.select("digest", "id", "weight").join(counts, F.col("id") == F.col("u"), "left").drop("u").join(parts, "id", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"))

@@ -15,8 +15,9 @@ trained in numpy by every worker on its own texts (every word of each text is a
 target once, in one pass) and the workers' weights are averaged by the number of
 words they learnt from, through two levels of a shuffle.
 
-Defined cases: a null or blank text has no words and scores 0; an empty table gives an empty result; repeated rows count and score as rows;
-other columns are ignored.
+Defined cases: a null or blank text has no words and scores 0; a very long text
+is scored whole, in stretches; an empty table gives an empty result; repeated
+rows and null ids count and score as rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import store
+from tidewright.llm.common import map_texts, store
 
 #: Least words with an embedding of their own, classes they are dealt to, and classes of the other words; all three grow with the corpus.
 WORDS, CLASSES, RARE = 4096, 64, 16
@@ -42,8 +43,6 @@ HIDDEN, BATCH, RATE = 16, 2048, 0.1
 PLACES = (-2, -1, 1, 2)
 #: Weights in one row of the exchange; a worker's words are counted in blocks of so many different ones.
 CHUNK, BLOCK = 4096, 400_000
-#: Rare words that a scoring worker holds before it returns them.
-HELD = 100_000
 _MARKS = b".,;:!?\"'()"
 
 
@@ -236,33 +235,38 @@ def score_documents(docs: DataFrame) -> DataFrame:
     vocab, counts = vocabulary(docs)
     net = train(docs, vocab)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))
-    names = ["row", "doc_id", "n_tokens", "total", "words", "times"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         vocab, flat = shared.value
         net = network(vocab, flat)
-        row, rows, held = TaskContext.get().partitionId() << 33, [], 0
-        for part in parts:
-            for doc_id, text in zip(part["doc_id"].astype("Int64"), part["text"]):
+        row = TaskContext.get().partitionId() << 33
+
+        def work(texts: list) -> dict:
+            nonlocal row
+            out: dict = {"row": list(range(row, row + len(texts))), "n_tokens": [], "total": [], "words": [], "times": []}
+            row += len(texts)
+            for text in texts:
                 words = tokens(text)
                 ids = vocab.ids_of(words)
                 total = 0.0
-                windows = vocab.windows(ids)
                 for s in range(0, len(ids), 8 * BATCH):
                     now = ids[s : s + 8 * BATCH]
-                    _, z = net.forward(windows[s : s + 8 * BATCH])
+                    # The windows of a stretch need two words more on either side.
+                    low = max(0, s - 2)
+                    near = vocab.windows(ids[low : s + 8 * BATCH + 2])[s - low : s - low + len(now)]
+                    _, z = net.forward(near)
                     total += float(z[np.arange(len(now)), vocab.cls[now]].sum(dtype=np.float64) + vocab.log_share[now].sum())
                 rare = Counter(words[i] for i in np.flatnonzero(ids >= vocab.size))
-                rows.append((row, doc_id, len(ids), total, list(rare), list(rare.values())))
-                row, held = row + 1, held + len(rare)
-                if held >= HELD or len(rows) >= HELD:
-                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-                    rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                out["n_tokens"].append(len(ids))
+                out["total"].append(total)
+                out["words"].append(list(rare))
+                out["times"].append(list(rare.values()))
+            return out
+
+        return work
 
     # Stored, so that a row keeps its number; then every rare word meets its own count.
-    scored = store(docs.select("doc_id", "text").mapInPandas(run, "row long, doc_id long, n_tokens long, total double, words array<binary>, times array<int>"), "scored")
+    scored = store(map_texts(docs, start, "row long, n_tokens long, total double, words array<binary>, times array<int>", ["doc_id"]), "scored")
     met = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     own = met.join(counts.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("own"))
     whole = F.col("total") + F.coalesce("own", F.lit(0.0))

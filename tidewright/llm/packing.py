@@ -8,32 +8,30 @@ rank in its class divided by k; ranks come from the workers' own counts, so the
 classes are filled independently.  Less than one bin a class is left over, a
 number that doesn't depend on the input, and these pieces are packed first-fit.
 
-Defined cases: a null or empty text has only the end token; repeated rows are
-packed row by row; an empty table gives an empty result; other columns are
-ignored.
+Defined cases: a null or empty text has only the end token; a very long text is
+as many full sequences as it takes; repeated rows and null ids are packed row by
+row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import store
+from tidewright.llm.common import Cache, map_texts, store
 
 CAPACITY = 4096
 END_TOKEN = 2
 #: Classes up to this are all reciprocals, above it powers of two.
 FINE = 64
-#: Words kept by a worker; the cache starts anew when full.
-CACHE = 1_600_000
+#: Bytes of words and their ids that a worker keeps in each of two generations.
+CACHE = 40_000_000
 
 _ready: dict[str, WordTokens] = {}
 
@@ -47,7 +45,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
+        self._known = Cache(CACHE)
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of ``text`` without special tokens.
@@ -60,19 +58,19 @@ class WordTokens:
         raw = (text or "").encode("utf-8", "replace")
         words = (raw if b"<|" in raw else raw.lower()).split()
         try:
-            return np.frombuffer(b"".join(map(self._known.__getitem__, words)), "<u4")
+            return np.frombuffer(b"".join(map(self._known.young.__getitem__, words)), "<u4")
         except KeyError:
-            self._learn({*words})
-            return np.frombuffer(b"".join(map(self._known.__getitem__, words)), "<u4")
+            found = self._learn({*words})
+            return np.frombuffer(b"".join(map(found.__getitem__, words)), "<u4")
 
-    def _learn(self, words: set[bytes]) -> None:
-        known = self._known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = [*words]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of ``words``, from the cache or encoded."""
+        found = {w: self._known.get(w) for w in words}
+        new = [w for w, ids in found.items() if ids is None]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+            ids = found[w] = np.array(e.ids, "<u4").tobytes()
+            self._known.put(w, ids, len(w) + len(ids))
+        return found
 
 
 def word_tokens(path: str) -> WordTokens:
@@ -118,23 +116,27 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tok = word_tokens(path)
         here = TaskContext.get().partitionId()
         filled: dict[int, int] = {}
-        for part in parts:
-            rows = []
-            for doc_id, text in zip(part["doc_id"], part["text"]):
+        names = ("start", "length", "ids_crc32", "doc_tokens", "k", "worker", "rank", "ids")
+
+        def work(texts: list) -> dict:
+            rows, at = [], []
+            for i, text in enumerate(texts):
                 ids = np.append(tok.ids(text), np.uint32(END_TOKEN)).astype("<u4")
-                for start, n in cuts(len(ids), capacity):
+                for begin, n in cuts(len(ids), capacity):
                     k = size_class(n, capacity)
                     rank = filled[k] = filled.get(k, -1) + 1
-                    piece = ids[start : start + n]
-                    rows.append((doc_id, start, n, zlib.crc32(piece.tobytes()), len(ids), k, here, rank, piece.astype(np.int32) if keep_ids else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "worker", "rank", "ids"])
-            yield out.astype({"doc_id": "Int64"})
+                    piece = ids[begin : begin + n]
+                    rows.append((begin, n, zlib.crc32(piece.tobytes()), len(ids), k, here, rank, piece.astype(np.int32) if keep_ids else None))
+                    at.append(i)
+            return {**{c: [r[j] for r in rows] for j, c in enumerate(names)}, None: at}
+
+        return work
 
-    return run
+    return start
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[int]:
@@ -155,8 +157,8 @@ def first_fit(lengths: list[int], capacity: int) -> list[int]:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if ``keep_ids``."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, worker int, rank long, ids array<int>"
-    pieces = store(docs.select("doc_id", "text").mapInPandas(_pieces(path, capacity, keep_ids), schema), "pieces")
+    added = "start long, length long, ids_crc32 long, doc_tokens long, k int, worker int, rank long, ids array<int>"
+    pieces = store(map_texts(docs, _pieces(path, capacity, keep_ids), added, ["doc_id"]), "pieces")
     # Ranks of a class over all workers: one row per worker and class, summed up in the order of workers.
     counts = pieces.groupBy("k", "worker").agg(F.count("*").alias("n"))
     before = Window.partitionBy("k").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
