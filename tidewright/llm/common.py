@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,11 +15,15 @@ from pyspark.sql.types import StructType
 
 #: Tables of up to so many bytes, by counted rows and their width, may be broadcast.
 BROADCAST_BYTES = 16_000_000
-#: Texts that a worker looks at together.
-TEXTS = 512
+#: Texts that a worker looks at together, and rows of texts that reach it at once.
+TEXTS, BATCH_ROWS = 512, 2000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; where the session has Spark's own batch size, batches are made small enough for long texts."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -53,6 +58,31 @@ def join_ids(df: DataFrame, ids: DataFrame, n_ids: int, on: str | list[str], how
     return df.join(F.broadcast(ids) if n_ids * width <= BROADCAST_BYTES else ids.hint("merge"), on, how)
 
 
+def _free_memory(start: bool) -> None:
+    """Let a worker give memory back: large blocks are mapped on their own, the rest is trimmed when a task ends."""
+    try:
+        if start:
+            pa.set_memory_pool(pa.system_memory_pool())
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)
+        else:
+            ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on a task's batches, after which the reused worker keeps no more memory than it needs."""
+
+    def run(parts: Iterator) -> Iterator:
+        _free_memory(start=True)
+        try:
+            yield from work(parts)
+        finally:
+            _free_memory(start=False)
+
+    return run
+
+
 def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], dict]], added: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` (all by default) and the ``added`` ones, which a worker's function makes from lists of texts.
 
@@ -79,7 +109,7 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[[list], dict]], adde
                 cells = [pa.array(made[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays([*kept.columns, *cells], schema=pa.schema([*kept.schema, *arrow]))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 class Cache:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import store
+from tidewright.llm.common import store, tidy
 
 
 def local_forest(u, v) -> dict[int, int]:
@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self-loops and repeated edges are ignored; nodes that only have self-loops
     are not returned.  Null ends are dropped.  An empty table gives an empty one.
     """
-    left = store(edges.filter("u is not null and v is not null and u != v").mapInPandas(_contract, "u long, v long"), "edges")
+    left = store(edges.filter("u is not null and v is not null and u != v").mapInPandas(tidy(_contract), "u long, v long"), "edges")
     mapping: DataFrame | None = None
     while not left.isEmpty():
         parent = _flatten(left.groupBy(F.greatest("u", "v").alias("id")).agg(F.min(F.least("u", "v")).alias("root")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import join_ids, map_texts, store
+from tidewright.llm.common import join_ids, map_texts, store, tidy
 from tidewright.llm.components import connected_components, local_forest
 
 THRESHOLD = 0.95
@@ -210,7 +210,7 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     cut = join_ids(own, wanted, n_classes, ["vec_id", "digest"], "inner", 60 + 36 * TABLES).select(F.explode("to").alias("to"), F.col("vec_id").alias("id"), "weight", "keys", "vector").select("to.*", "id", "weight", "keys", "vector")
     dealt = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = dealt.select("cell", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"), (F.col("block") != F.col("with")).alias("two"), "at", "id", "weight", "keys", "vector")
-    links = store(group.repartition("at", "cell", "i", "j").sortWithinPartitions("at", "cell", "i", "j").mapInArrow(_links, "u long, v long, links long"), "vector-links")
+    links = store(group.repartition("at", "cell", "i", "j").sortWithinPartitions("at", "cell", "i", "j").mapInArrow(tidy(_links), "u long, v long, links long"), "vector-links")
     counts = links.filter("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     parts = connected_components(links.filter("v is not null").select("u", "v"))
     of = classes.select("digest", "id", "weight").join(counts, F.col("id") == F.col("u"), "left").drop("u").join(parts, "id", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "id").alias("component"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_texts, store
+from tidewright.llm.common import map_texts, store, tidy
 
 #: Least words with an embedding of their own, classes they are dealt to, and classes of the other words; all three grow with the corpus.
 WORDS, CLASSES, RARE = 4096, 64, 16
@@ -147,7 +147,7 @@ def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
 
     The driver gets the words with an embedding and one number a hash class.
     """
-    counts = store(docs.select("text").mapInPandas(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = store(docs.select("text").mapInPandas(tidy(_count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     size = counts.agg(F.count("*").alias("types"), F.count_if(F.col("n") >= MIN_COUNT).alias("often")).first()
     chosen = counts.filter(F.col("n") >= MIN_COUNT) if size["often"] >= WORDS else counts.orderBy(F.desc("n"), "word").limit(WORDS)
     top = sorted(((bytes(r["word"]), r["n"]) for r in chosen.collect()), key=lambda x: (-x[1], x[0]))
@@ -221,9 +221,9 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Network:
     """The workers' networks, averaged by the words they learnt from."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     schema = "chunk int, lane int, weight double, sums array<float>"
-    local = docs.select("text").mapInPandas(_train(shared), schema)
-    some = local.repartition("chunk", "lane").mapInPandas(_sum_chunks, schema).withColumn("lane", F.lit(0))
-    rows = some.repartition("chunk").mapInPandas(_sum_chunks, schema).orderBy("chunk").collect()
+    local = docs.select("text").mapInPandas(tidy(_train(shared)), schema)
+    some = local.repartition("chunk", "lane").mapInPandas(tidy(_sum_chunks), schema).withColumn("lane", F.lit(0))
+    rows = some.repartition("chunk").mapInPandas(tidy(_sum_chunks), schema).orderBy("chunk").collect()
     net = network(vocab)
     for r in rows[1:]:
         net.flat[r["chunk"] * CHUNK :][: len(r["sums"])] += np.array(r["sums"]) / rows[0]["weight"]
