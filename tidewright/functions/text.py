@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 # Invisible characters and attribution parameters.
 ZERO_WIDTH = "[­​-‏‪-‮⁠﻿]"
 TRACKING_PREFIXES = ("utm_", "pk_", "mtm_", "matomo_", "piwik_", "hsa_", "vero_")
-TRACKING_NAMES = ("fbclid", "gclid", "gclsrc", "dclid", "wbraid", "gbraid", "msclkid", "twclid", "ttclid", "igshid", "igsh", "yclid", "mc_cid", "mc_eid", "_hsenc", "_hsmi", "ref_src", "ref_url", "spm", "scm", "cmpid", "cvid")
+TRACKING_NAMES = (
+    "fbclid", "gclid", "gclsrc", "dclid", "wbraid", "gbraid", "msclkid",
+    "twclid", "ttclid", "igshid", "igsh", "yclid", "li_fat_id", "mkt_tok",
+    "mc_cid", "mc_eid", "_hsenc", "_hsmi", "hsctatracking",
+    "s_kwcid", "ef_id", "trk", "trkcampaign", "icid", "ncid", "spm", "scm",
+    "ref_src", "ref_url", "guccounter", "guce_referrer", "guce_referrer_sig",
+    "at_medium", "at_campaign", "_openstat", "wt_mc", "wt_zmc",
+    "action_object_map", "action_type_map", "action_ref_map",
+    "__twitter_impression", "cmpid", "cvid",
+)
 
 
 def collapse_whitespace(text: Column) -> Column:

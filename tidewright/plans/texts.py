@@ -28,8 +28,9 @@ def x10_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.call_function("luhn_check", number).alias("valid"))
 
 
+_TRACKED = "^(" + "|".join(T.TRACKING_PREFIXES) + ")|^(" + "|".join(T.TRACKING_NAMES) + ")$"
 _SQL_URL = """u as (select page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) s, lower(regexp_extract(url, '://([^/?#]*)', 1)) h, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) p, regexp_extract(url, '\\?([^#]*)', 1) q from pages),
-k as (select *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' and not regexp_matches(lower(split_part(x, '=', 1)), '^(utm_|pk_|mtm_|matomo_|piwik_|hsa_|vero_)|^(fbclid|gclid|spm|scm|ref_src|ref_url)$'))) a from u)"""
+k as (select *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' and not regexp_matches(lower(split_part(x, '=', 1)), 'TRACKED'))) a from u)""".replace("TRACKED", _TRACKED)
 
 
 @query(f"with {_SQL_URL} select page_id, s || '://' || h || case when p = '' then '/' else p end || case when len(a) > 0 then '?' || array_to_string(a, '&') else '' end as canonical from k")
@@ -37,7 +38,7 @@ def x11_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query("""with p as (select page_id, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) x from pages) select page_id, split_part(x, '=', 1) as name, regexp_matches(lower(split_part(x, '=', 1)), '^(utm_|pk_|mtm_|hsa_)') as tracking from p where x <> ''""")
+@query(f"""with p as (select page_id, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) x from pages) select page_id, split_part(x, '=', 1) as name, regexp_matches(lower(split_part(x, '=', 1)), '{_TRACKED}') as tracking from p where x <> ''""")
 def x12_tracking_param(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split(F.regexp_extract("url", r"\?([^#]*)", 1), "&")).alias("x")).filter("x != ''")
     name = F.split("x", "=")[0]
