@@ -31,7 +31,7 @@ END_TOKEN = 2
 #: Classes up to this are all reciprocals, above it powers of two.
 FINE = 64
 #: Bytes of words and their ids that a worker keeps in each of two generations.
-CACHE = 40_000_000
+CACHE = 70_000_000
 
 _ready: dict[str, WordTokens] = {}
 
