@@ -61,9 +61,9 @@ def f09_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.filter(as_of("o_orderdate", "l_shipdate", F.expr("timestamp_ntz'1996-06-01'"))).select("l_orderkey", "l_linenumber")
 
 
-@query("""select doc_id, substr(regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F<>`]', '', 'g'), 1, 200) as scrubbed from documents""")
+@query("""select doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F<>`]', '', 'g') as scrubbed from documents""")
 def f11_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = F.substring(F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F<>`]", ""), 1, 200)
+    clean = F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F<>`]", "")
     return table(spark, sf_dir, "documents").select("doc_id", clean.alias("scrubbed"))
 
 

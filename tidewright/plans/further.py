@@ -15,6 +15,7 @@ from tidewright.operators.search import cosine
 from tidewright.plans.aggregates import dead_letters
 from tidewright.plans.graphs import TRADE, trade
 from tidewright.plans.ranking import JUDGED, judged
+from tidewright.plans.joins import quote_hits
 from tidewright.plans.registry import query, table
 
 
@@ -129,10 +130,11 @@ def y11_current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))
 
 
-@query("""select conv_id, turn, contains(text, (select text from benchmark where item_id = 0)) as found from conversations""")
+@query("""select b.item_id, c.conv_id, c.turn, strpos(c.text, b.text) as position from benchmark b join conversations c on contains(c.text, b.text)""")
 def y14_verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quote = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.col("text").alias("quote"))
-    return table(spark, sf_dir, "conversations").crossJoin(F.broadcast(quote)).select("conv_id", "turn", F.contains("text", F.col("quote")).alias("found"))
+    """All quotes against all turns in one read: the turns that hold each, and where."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return quote_hits(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], quotes)
 
 
 @query("""with m as (select text, min(doc_id) canonical from documents group by 1) select doc_id, canonical from documents join m using (text) where doc_id <> canonical""")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import tokens
-from tidewright.operators.joins import best_match, block_pairs, block_sizes, in_order, overlap_join, with_counts
+from tidewright.operators.joins import best_match, block_pairs, block_sizes, in_order, with_counts
 from tidewright.plans.registry import query, table
 
 
@@ -111,13 +111,23 @@ def k17_blocking_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.agg(F.count("*").alias("blocks"), F.sum("n").alias("memberships"), F.max("n").alias("largest"), F.sum(F.expr("n * (n - 1) div 2")).alias("comparisons"))
 
 
-@query("""with i as (select l_suppkey k, l_orderkey o, l_linenumber n, o_orderdate s, l_shipdate e from lineitem join orders on o_orderkey = l_orderkey where l_shipdate > o_orderdate)
-select a.k, a.o as lo, a.n as ln, b.o as ro, b.n as rn from i a join i b on a.k = b.k and a.s < b.e and b.s < a.e and (a.o < b.o or (a.o = b.o and a.n < b.n)) where a.o % 20 = 0""")
+@query("""with i as (select row_number() over () r, l_suppkey k, l_orderkey o, l_linenumber n, o_orderdate s, l_shipdate e from lineitem join orders on o_orderkey = l_orderkey where l_shipdate > o_orderdate)
+select a.k, a.o, a.n, count(*) - 1 as overlaps from i a join i b on a.k = b.k and a.s < b.e and b.s < a.e group by a.r, a.k, a.o, a.n""")
 def j15_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every interval with the number of others under its key that overlap it.
+
+    Counts by key and instant are summed up along the instants, so no pair is
+    made: an interval meets all that start before its end but those that ended by its start.
+    """
     facts = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).filter("l_shipdate > o_orderdate")
-    side = lambda p, o, n: facts.select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias(o), F.col("l_linenumber").alias(n), F.col("o_orderdate").alias(f"{p}_start"), F.col("l_shipdate").alias(f"{p}_end"))
-    pairs = overlap_join(side("l", "lo", "ln").filter("lo % 20 = 0"), side("r", "ro", "rn"), "k", 60)
-    return pairs.filter("lo < ro or (lo = ro and ln < rn)").select("k", "lo", "ln", "ro", "rn")
+    rows = facts.select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("o_orderdate").alias("s"), F.col("l_shipdate").alias("e"))
+    marks = rows.select("k", F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("e").alias("t"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("m"))
+    sums = marks.groupBy("k", "m.t").agg(F.sum("m.up").alias("up"), F.sum("m.down").alias("down"))
+    along = Window.partitionBy("k").orderBy("t")
+    counted = sums.select("k", "t", (F.sum("up").over(along) - F.col("up")).alias("started"), F.sum("down").over(along).alias("ended"))
+    at_end = counted.select("k", F.col("t").alias("e"), "started")
+    at_start = counted.select("k", F.col("t").alias("s"), "ended")
+    return rows.join(at_end, ["k", "e"]).join(at_start, ["k", "s"]).select("k", "o", "n", (F.col("started") - F.col("ended") - 1).alias("overlaps"))
 
 
 @query("""select c1.conv_id, c1.turn, c2.turn as reply from conversations c1 join conversations c2 on c1.conv_id = c2.conv_id and c2.turn = c1.turn + 1 where c1.role = 'user' and c2.role = 'assistant'""")
@@ -133,14 +143,31 @@ def j17_passage_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(fused, table(spark, sf_dir, "documents"), "doc_id", "rank").select("rank", "doc_id", "source", "n_chars")
 
 
+def quote_hits(docs: DataFrame, ids: list[str], quotes: DataFrame) -> DataFrame:
+    """``ids`` of ``docs`` (with text), item_id and position (from 1) of every quote that a whole text holds.
+
+    Texts and quotes meet on a window of four words, then the whole quote is
+    tested.  The inner words of a quote are whole words of any text that holds it;
+    quotes of under six words have no such window and are tested directly.
+    """
+    sized = quotes.filter("quote != ''").withColumn("w", tokens(F.col("quote")))
+    anchors = sized.filter(F.size("w") >= 6).select("item_id", "quote", F.array_join(F.slice("w", 2, 4), " ").alias("anchor"))
+    short = sized.filter(F.size("w") < 6).select("item_id", "quote")
+    words = docs.select(*ids, "text", tokens(F.col("text")).alias("w")).filter(F.size("w") >= 4)
+    grams = words.select(*ids, "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("anchor"))
+    size = anchors.agg(F.coalesce(F.sum(F.length("quote")), F.lit(0))).first()[0]
+    met = grams.join(F.broadcast(anchors) if size < 8_000_000 else anchors, "anchor")
+    out = met.filter(F.contains("text", "quote")).select(*ids, "item_id", F.expr("instr(text, quote)").cast("long").alias("position")).distinct()
+    if short.isEmpty():
+        return out
+    direct = docs.join(F.broadcast(short) if short.count() < 10_000 else short, F.contains("text", F.col("quote")))
+    return out.union(direct.select(*ids, "item_id", F.expr("instr(text, quote)").cast("long").alias("position")))
+
+
 @query("""select b.item_id, count(d.doc_id) as found from benchmark b left join documents d on contains(d.text, b.text) group by 1""")
 def x42_quote_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact quote search: texts and quotes meet on a word window, then the whole quote is tested."""
+    """Number of documents that hold each quote."""
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    window = lambda t: F.slice(t, 1, 4)
-    # The inner words of a quote are whole words of any text that holds it.
-    anchors = quotes.withColumn("w", tokens(F.col("quote"))).select("item_id", "quote", F.array_join(window(F.slice("w", 2, 5)), " ").alias("anchor"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tokens(F.col("text")).alias("w")).filter(F.size("w") >= 4)
-    grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("anchor"))
-    hits = grams.join(F.broadcast(anchors), "anchor").filter(F.contains("text", "quote")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("found"))
-    return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("found", F.lit(0)).cast("long").alias("found"))
+    hits = quote_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], quotes)
+    found = hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("found"))
+    return quotes.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("found", F.lit(0)).cast("long").alias("found"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import text as T
 from tidewright.operators.dedup import cluster_documents
 from tidewright.operators.graph import shared_table
+from tidewright.plans.joins import quote_hits
 from tidewright.plans.registry import query, table
 
 
@@ -140,11 +141,11 @@ def x38_dominant_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", dominant_script(F.col("text")).alias("script"))
 
 
-@query("""select d.doc_id, b.item_id, strpos(d.text, substr(b.text, 1, 40)) as position from documents d join benchmark b on b.item_id = d.doc_id % 40""")
+@query("""select d.doc_id, b.item_id, strpos(d.text, b.text) as position from documents d join benchmark b on contains(d.text, b.text)""")
 def x39_locate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("surface"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(items, "item_id").select("doc_id", "item_id", F.expr("instr(text, surface)").cast("long").alias("position"))
+    """Where every item stands in every document that holds it, literally."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return quote_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], items)
 
 
 @query("""select p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from part""")
