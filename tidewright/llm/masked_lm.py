@@ -26,6 +26,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,20 @@ def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
 
+class _Ids(dict):
+    """Ids of words; a word without one of its own gets that of its hash class."""
+
+    def __init__(self, own: dict[bytes, int], rare: int):
+        super().__init__(own)
+        self.base, self.rare = len(own), rare
+
+    def __missing__(self, word: bytes) -> int:
+        return self.base + zlib.crc32(word) % self.rare
+
+    def __reduce__(self):
+        return _Ids, (dict(self), self.rare)
+
+
 class Vocabulary:
     """Ids, classes and in-class log-shares.  Ids: words, then hashed ones, then the edge.
 
@@ -70,9 +85,8 @@ class Vocabulary:
     """
 
     def __init__(self, top: list[tuple[bytes, int]], rare: list[int]):
-        self.ids = {w: i for i, (w, _) in enumerate(top)}
-        self.size = len(top)
-        self.rare = len(rare)
+        self.size, self.rare = len(top), len(rare)
+        self.ids = _Ids({w: i for i, (w, _) in enumerate(top)}, self.rare)
         self.classes = max(CLASSES, math.isqrt(self.size))
         n = np.array([c for _, c in top], float)
         mass = np.cumsum(n) / max(n.sum(), 1.0)
@@ -83,15 +97,14 @@ class Vocabulary:
         self.edge = self.size + self.rare
 
     def ids_of(self, words: list[bytes]) -> np.ndarray:
-        known, base, rare = self.ids, self.size, self.rare
-        return np.array([i if (i := known.get(w)) is not None else base + zlib.crc32(w) % rare for w in words], np.int64)
+        return np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.ids_of(tokens(text))
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
         """The four neighbours of every word, the edge beyond both ends."""
-        pad = np.concatenate(([self.edge] * 2, ids, [self.edge] * 2)).astype(np.int64)
+        pad = np.concatenate(([self.edge] * 2, ids, [self.edge] * 2)).astype(np.int32)
         n = len(ids)
         return np.stack([pad[2 + p : 2 + p + n] for p in PLACES], axis=1)
 
@@ -110,36 +123,60 @@ class Network:
         part = [self.flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
         self.table = part[0].reshape(len(PLACES) * inputs, HIDDEN)
         self.bias, self.out, self.out_bias = part[1], part[2].reshape(HIDDEN, self.outputs), part[3]
-        self.steps = np.arange(len(PLACES)) * inputs
+        self.steps = (np.arange(len(PLACES)) * inputs).astype(np.int32)
+        self.ones = np.ones(self.outputs, np.float32)
 
-    def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and log-probabilities of the classes for rows of neighbours."""
-        at = near + self.steps
+    def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden values for rows of neighbours, and the embeddings they come from."""
+        at = near.astype(np.int32, copy=False) + self.steps
         h = self.table[at[:, 0]]
         for p in range(1, len(PLACES)):
             h += self.table[at[:, p]]
-        h = np.tanh(h + self.bias)
-        z = h @ self.out + self.out_bias
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return h, z
+        h += self.bias
+        return np.tanh(h, out=h), at
+
+    def exponents(self, h: np.ndarray) -> np.ndarray:
+        """Scores of the classes whose exponentials, once scaled to sum 1, are the probabilities."""
+        z = h @ self.out
+        z += self.out_bias
+        # Hidden values lie in -1..1, so the weights bound the scores; only larger ones need a shift.
+        if not np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max() < 60:
+            z -= z.max(axis=1, keepdims=True)
+        return z
+
+    def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden values and log-probabilities of all classes for rows of neighbours."""
+        h, _ = self.hidden(near)
+        z = self.exponents(h)
+        return h, z - np.log(np.exp(z) @ self.ones)[:, None]
+
+    def log_probability(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The log-probability of every row's own class."""
+        z = self.exponents(self.hidden(near)[0])
+        own = z[np.arange(len(z)), target]
+        return own - np.log(np.exp(z, out=z) @ self.ones)
 
     def learn(self, near: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean log-loss, embeddings by their own frequency."""
-        h, z = self.forward(near)
-        d = np.exp(z)
+        h, at = self.hidden(near)
+        d = self.exponents(h)
+        np.exp(d, out=d)
+        d *= (1 / (d @ self.ones))[:, None]
         d[np.arange(len(d)), target] -= 1
-        dh = (d @ self.out.T) * (1 - h * h)
-        self.out -= rate * (h.T @ d) / len(d)
-        self.out_bias -= rate * d.mean(axis=0)
+        dh = d @ self.out.T
+        dh *= 1 - h * h
+        rate = np.float32(rate)
+        self.out -= (h.T @ d) * (rate / len(d))
+        self.out_bias -= d.sum(axis=0) * (rate / len(d))
         self.bias -= rate * dh.mean(axis=0)
-        at = (near + self.steps).astype(np.int32).ravel()
+        at = at.ravel()
         order = np.argsort(at)
         sorted_at = at[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
         ids, n = sorted_at[first], np.diff(np.append(first, len(at)))
         sums = np.add.reduceat(dh[order // len(PLACES)], first, axis=0)
-        self.table[ids] -= rate * sums / np.sqrt(n)[:, None]
+        sums *= (rate / np.sqrt(n, dtype=np.float32))[:, None]
+        self.table[ids] -= sums
 
 
 def vocabulary(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
@@ -249,14 +286,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 words = tokens(text)
                 ids = vocab.ids_of(words)
                 total = 0.0
-                for s in range(0, len(ids), 8 * BATCH):
-                    now = ids[s : s + 8 * BATCH]
+                for s in range(0, len(ids), BATCH):
+                    now = ids[s : s + BATCH]
                     # The windows of a stretch need two words more on either side.
                     low = max(0, s - 2)
-                    near = vocab.windows(ids[low : s + 8 * BATCH + 2])[s - low : s - low + len(now)]
-                    _, z = net.forward(near)
-                    total += float(z[np.arange(len(now)), vocab.cls[now]].sum(dtype=np.float64) + vocab.log_share[now].sum())
-                rare = Counter(words[i] for i in np.flatnonzero(ids >= vocab.size))
+                    near = vocab.windows(ids[low : s + BATCH + 2])[s - low : s - low + len(now)]
+                    total += float(net.log_probability(near, vocab.cls[now]).sum(dtype=np.float64) + vocab.log_share[now].sum())
+                rare = Counter(compress(words, (ids >= vocab.size).tolist()))
                 out["n_tokens"].append(len(ids))
                 out["total"].append(total)
                 out["words"].append(list(rare))
