@@ -84,8 +84,8 @@ def w10_conflict_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20 as a query against all others of its label and the next: rank by id distance, grade by label."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    pool = q.join(v, (F.col("label") == F.col("ql")) | (F.col("label") == F.col("ql") + 1)).filter("query_id != vec_id")
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.explode(F.array(F.col("label"), F.col("label") + 1)).alias("label"))
+    pool = q.join(v, "label").filter("query_id != vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("vec_id") - F.col("query_id")), "vec_id"))
     graded = pool.withColumn("grade", F.when(F.col("label") == F.col("ql"), F.col("vec_id") % 4).otherwise(0).cast("int")).withColumn("rank", rank)
     return graded.select("query_id", F.when(F.col("rank") <= 100, F.col("rank")).alias("rank"), "grade")
