@@ -17,6 +17,12 @@ def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column]
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= n).withColumn(name, F.col(name).cast("long"))
 
 
+def least_values(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """(key, values): the ``n`` least different values of every key in order; only so many of a key ever meet in one row."""
+    few = top_per_group(rows.select(key, value).distinct(), [key], [F.asc_nulls_last(value)], n)
+    return few.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
 def reciprocal_rank_fusion(ranked: DataFrame, query: Sequence[str] = (), k: int = FUSION_K) -> DataFrame:
     """Fused score of (backend, chunk_id, rank): sum of weight / (k + rank); also number of backends and best rank."""
     weight = F.lit(1.0)

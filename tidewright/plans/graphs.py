@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.graph import conductance, degree_centrality, modularity, neighbourhood, pagerank, project
+from tidewright.operators.ranking import least_values
 from tidewright.plans.registry import query, table
 
 
@@ -118,8 +119,8 @@ def g25_stale_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select l_suppkey, array_to_string(list_slice(list_sort(list_distinct(list(l_partkey))), 1, 100), ',') as parts from lineitem group by 1""")
 def g02_capped_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.slice(F.array_sort(F.collect_set("l_partkey")), 1, 100)
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("parts"))
+    capped = least_values(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", 100)
+    return capped.select("l_suppkey", F.array_join(F.col("values").cast("array<string>"), ",").alias("parts"))
 
 
 @query("""with old as (select user_id id, min(ts) f, max(ts) l, count(*) n from events where ts < timestamp '2024-01-15' group by 1), new as (select user_id id, min(ts) f, max(ts) l, count(*) n from events where ts >= timestamp '2024-01-15' group by 1) select coalesce(o.id, n.id) as id, least(o.f, n.f) as first_seen, greatest(o.l, n.l) as last_seen, coalesce(o.n, 0) + coalesce(n.n, 0) as source_count from old o full join new n on o.id = n.id""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.scoring import band, clamp, log_saturate, weighted_mean_of_present
+from tidewright.operators.ranking import least_values
 from tidewright.operators.temporal import close, is_late
 from tidewright.plans.registry import query, table
 
@@ -106,8 +107,8 @@ def m18_property_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select l_orderkey, array_to_string(list_slice(list_sort(list_distinct(list(l_suppkey))), 1, 3), ',') as suppliers from lineitem group by 1""")
 def m19_distinct_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.slice(F.array_sort(F.array_distinct(F.collect_list("l_suppkey"))), 1, 3)
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("suppliers"))
+    capped = least_values(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", 3)
+    return capped.select("l_orderkey", F.array_join(F.col("values").cast("array<string>"), ",").alias("suppliers"))
 
 
 @query("""select c_custkey, least(greatest(coalesce(c_acctbal / 5000, 0), 0), 1) as score from customer""")
