@@ -294,6 +294,31 @@ def test_language_model_sums_conditionals():
     assert after < before
 
 
+def test_language_model_scores_match_brute_force(spark):
+    """Every document's score recomputed word by word, short texts and ones of several stretches alike."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", "word", "seldom%d" % rng.randrange(40)]) for _ in range(n)) for n in (1, 2, 5, 900, 700, 800, L.STRETCH, L.STRETCH + 1, 3 * L.STRETCH + 5)]
+    docs = spark.createDataFrame([*enumerate([*texts, None, " ", texts[3]])], "doc_id long, text string").coalesce(1)
+    vocab, counts = L.vocabulary(docs)
+    net = L.train(docs, vocab)
+    n = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    mass: dict = {}
+    for w, k in n.items():
+        mass[int(vocab.cls[vocab.ids[w]])] = mass.get(int(vocab.cls[vocab.ids[w]]), 0) + k
+    got = {r["doc_id"]: r for r in L.score_documents(docs).collect()}
+    for i, text in enumerate([*texts, None, " ", texts[3]]):
+        words = L.tokens(text)
+        at = [vocab.edge] * 2 + [vocab.ids[w] for w in words] + [vocab.edge] * 2
+        want = 0.0
+        for j, w in enumerate(words):
+            cls = int(vocab.cls[vocab.ids[w]])
+            h = np.tanh(sum(net.table[k * net.inputs + at[2 + j + p]].astype(float) for k, p in enumerate(L.PLACES)) + net.bias)
+            z = h @ net.out + net.out_bias
+            want += z[cls] - np.log(np.exp(z).sum()) + np.log(n[w] / mass[cls])
+        assert got[i]["n_tokens"] == len(words) and got[i]["log_likelihood"] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    assert got[3]["log_likelihood"] == pytest.approx(got[len(texts) + 2]["log_likelihood"], rel=1e-6)
+
+
 @pytest.mark.parametrize("n", [1, 5, L.BATCH, 4000, 40 * L.BATCH + 7])
 def test_language_model_learns_from_every_word(spark, monkeypatch, n):
     """Every word is a target exactly once, whatever the length of text and buffer."""

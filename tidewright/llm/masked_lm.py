@@ -44,6 +44,8 @@ HIDDEN, BATCH, RATE = 16, 2048, 0.1
 PLACES = (-2, -1, 1, 2)
 #: Weights in one row of the exchange; a worker's words are counted in blocks of so many different ones.
 CHUNK, BLOCK = 4096, 400_000
+#: Words that are scored together, of one text or several.
+STRETCH = 2048
 _MARKS = b".,;:!?\"'()"
 
 
@@ -123,21 +125,30 @@ class Network:
         part = [self.flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
         self.table = part[0].reshape(len(PLACES) * inputs, HIDDEN)
         self.bias, self.out, self.out_bias = part[1], part[2].reshape(HIDDEN, self.outputs), part[3]
-        self.steps = (np.arange(len(PLACES)) * inputs).astype(np.int32)
+        self.steps = np.arange(len(PLACES)) * inputs
         self.ones = np.ones(self.outputs, np.float32)
+        self.room: dict[str, np.ndarray] = {}
+
+    def space(self, name: str, rows: int, width: int) -> np.ndarray:
+        """Room that the next call under the name uses again: fresh pages cost more than what is written to them."""
+        if name not in self.room or len(self.room[name]) < rows:
+            self.room[name] = np.empty((rows, width), np.float32)
+        return self.room[name][:rows]
 
     def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden values for rows of neighbours, and the embeddings they come from."""
-        at = near.astype(np.int32, copy=False) + self.steps
-        h = self.table[at[:, 0]]
+        at = near.astype(np.int64, copy=False) + self.steps
+        h, more = self.space("hidden", len(at), HIDDEN), self.space("more", len(at), HIDDEN)
+        self.table.take(at[:, 0], axis=0, out=h, mode="clip")
         for p in range(1, len(PLACES)):
-            h += self.table[at[:, p]]
+            self.table.take(at[:, p], axis=0, out=more, mode="clip")
+            h += more
         h += self.bias
         return np.tanh(h, out=h), at
 
     def exponents(self, h: np.ndarray) -> np.ndarray:
         """Scores of the classes whose exponentials, once scaled to sum 1, are the probabilities."""
-        z = h @ self.out
+        z = np.matmul(h, self.out, out=self.space("scores", len(h), self.outputs))
         z += self.out_bias
         # Hidden values lie in -1..1, so the weights bound the scores; only larger ones need a shift.
         if not np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max() < 60:
@@ -146,7 +157,7 @@ class Network:
 
     def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden values and log-probabilities of all classes for rows of neighbours."""
-        h, _ = self.hidden(near)
+        h = self.hidden(near)[0].copy()
         z = self.exponents(h)
         return h, z - np.log(np.exp(z) @ self.ones)[:, None]
 
@@ -163,18 +174,25 @@ class Network:
         np.exp(d, out=d)
         d *= (1 / (d @ self.ones))[:, None]
         d[np.arange(len(d)), target] -= 1
-        dh = d @ self.out.T
-        dh *= 1 - h * h
+        dh = np.matmul(d, self.out.T, out=self.space("change", len(d), HIDDEN))
+        slope = np.multiply(h, h, out=self.space("more", len(d), HIDDEN))
+        dh *= np.subtract(1, slope, out=slope)
         rate = np.float32(rate)
+        one = np.ones(len(d), np.float32)
         self.out -= (h.T @ d) * (rate / len(d))
-        self.out_bias -= d.sum(axis=0) * (rate / len(d))
-        self.bias -= rate * dh.mean(axis=0)
-        at = at.ravel()
-        order = np.argsort(at)
-        sorted_at = at[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
-        ids, n = sorted_at[first], np.diff(np.append(first, len(at)))
-        sums = np.add.reduceat(dh[order // len(PLACES)], first, axis=0)
+        self.out_bias -= (one @ d) * (rate / len(d))
+        self.bias -= (one @ dh) * (rate / len(d))
+        # Sorted places of the embeddings, each with the row it is for in its lower part.
+        key = at * len(d)
+        key += np.arange(len(d))[:, None]
+        key = np.sort(key, axis=None)
+        place = key // len(d)
+        row = key - place * len(d)
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        ids, n = place[first], np.diff(np.append(first, len(place)))
+        # Pairs of numbers add like complex ones, in half the steps.
+        each = dh.take(row, axis=0, out=self.space("each", len(row), HIDDEN), mode="clip")
+        sums = np.add.reduceat(each.view(np.complex64), first, axis=0).view(np.float32)
         sums *= (rate / np.sqrt(n, dtype=np.float32))[:, None]
         self.table[ids] -= sums
 
@@ -278,25 +296,38 @@ def score_documents(docs: DataFrame) -> DataFrame:
         net = network(vocab, flat)
         row = TaskContext.get().partitionId() << 33
 
+        def add_up(held: list, total: list[float]) -> None:
+            """Add stretches of texts, looked at together, to the texts' sums."""
+            ids, near = np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held])
+            value = net.log_probability(near, vocab.cls[ids]).astype(np.float64) + vocab.log_share[ids]
+            begins = np.cumsum([0, *(len(x) for _, x, _ in held[:-1])])
+            for (at, _, _), x in zip(held, np.add.reduceat(value, begins)):
+                total[at] += float(x)
+
         def work(texts: list) -> dict:
             nonlocal row
             out: dict = {"row": list(range(row, row + len(texts))), "n_tokens": [], "total": [], "words": [], "times": []}
             row += len(texts)
+            held, waiting = [], 0
             for text in texts:
                 words = tokens(text)
                 ids = vocab.ids_of(words)
-                total = 0.0
-                for s in range(0, len(ids), BATCH):
-                    now = ids[s : s + BATCH]
-                    # The windows of a stretch need two words more on either side.
-                    low = max(0, s - 2)
-                    near = vocab.windows(ids[low : s + BATCH + 2])[s - low : s - low + len(now)]
-                    total += float(net.log_probability(near, vocab.cls[now]).sum(dtype=np.float64) + vocab.log_share[now].sum())
                 rare = Counter(compress(words, (ids >= vocab.size).tolist()))
                 out["n_tokens"].append(len(ids))
-                out["total"].append(total)
+                out["total"].append(0.0)
                 out["words"].append(list(rare))
                 out["times"].append(list(rare.values()))
+                for s in range(0, len(ids), STRETCH):
+                    # The windows of a stretch need two words more on either side.
+                    low, now = max(0, s - 2), ids[s : s + STRETCH]
+                    near = vocab.windows(ids[low : s + STRETCH + 2])[s - low : s - low + len(now)]
+                    held.append((len(out["total"]) - 1, now, near))
+                    waiting += len(now)
+                    if waiting >= STRETCH:
+                        add_up(held, out["total"])
+                        held, waiting = [], 0
+            if held:
+                add_up(held, out["total"])
             return out
 
         return work
