@@ -76,3 +76,17 @@ def pack_evidence(passages: DataFrame, facts: DataFrame, budget: int) -> DataFra
         return pd.concat([fact.iloc[kept], passage.iloc[chosen]])[["query_id", "kind", "id", "cost"]]
 
     return both.select(*names).groupBy("query_id").applyInPandas(choose, "query_id long, kind string, id long, cost long")
+
+
+def fill_rows(rows: DataFrame, budget: int, breadth: bool) -> DataFrame:
+    """(query_id, id, cost) of the rows (query_id, id, signal, score, cost) that fit the budget, by score.
+
+    With ``breadth`` one row of each signal goes before any second.
+    """
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["score", "id"], ascending=[False, True])
+        kept, _ = fill(group["cost"].tolist(), budget, group["signal"].tolist() if breadth else None)
+        return group.iloc[kept][["query_id", "id", "cost"]]
+
+    return rows.select("query_id", "id", "signal", "score", "cost").groupBy("query_id").applyInPandas(choose, "query_id long, id long, cost long")
