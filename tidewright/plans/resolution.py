@@ -10,11 +10,12 @@ from tidewright.operators.merge import delete_keys, upsert_guarded, upsert_last
 from tidewright.plans.registry import query, table
 
 
-@query("""with l as (select event_id id, user_id, value from events), m as (select *, row_number() over (partition by user_id order by value desc, id) rn, min(id) over (partition by user_id) s from l) select s as survivor, count(*) as mentions, min(id) as first_seen, max(id) as last_seen, array_to_string(list_sort(list(distinct id::varchar)), ',') as aliases from m group by 1""")
+@query("""with m as (select user_id, min(event_id) survivor, count(*) mentions, max(event_id) last_seen from events group by 1) select survivor, event_id as alias, mentions, last_seen from events e join m on e.user_id is not distinct from m.user_id""")
 def k15_merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every merged record as an alias of its survivor, with the survivor's totals: rows, so no group becomes one list."""
     rows = table(spark, sf_dir, "events")
-    aliases = F.array_join(F.array_sort(F.collect_set(F.col("event_id").cast("string"))), ",")
-    return rows.groupBy("user_id").agg(F.min("event_id").alias("survivor"), F.count("*").alias("mentions"), F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"), aliases.alias("aliases")).drop("user_id")
+    merged = rows.groupBy(F.col("user_id").alias("user")).agg(F.min("event_id").alias("survivor"), F.count("*").alias("mentions"), F.max("event_id").alias("last_seen"))
+    return rows.join(merged, F.col("user_id").eqNullSafe(F.col("user"))).select("survivor", F.col("event_id").alias("alias"), "mentions", "last_seen")
 
 
 @query("""select a.s_suppkey as a, b.s_suppkey as b, case when a.s_acctbal = b.s_acctbal then 'match' when a.s_nationkey <> b.s_nationkey then 'conflict' else 'none' end as verdict from supplier a join supplier b on b.s_suppkey = a.s_suppkey + 1""")
