@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import additive_model, byte_bpe, embedding_dedup, histogram_sort, jaccard_join, masked_lm, packing, periodic_runs, pii, quality_rules, svd_whitening, url_templates
+from tidewright.llm import additive_model, byte_bpe, embedding_dedup, histogram_sort, jaccard_join, masked_lm, packing, periodic_runs, pii, quality_rules, suffix_dedup, svd_whitening, url_templates
 from tidewright.llm.common import load
 from tidewright.llm.oracle import ORACLE_SQL
 
@@ -66,10 +66,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(load(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(load(spark, sf_dir, "documents"))
+
+
 def op13_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return svd_whitening.digests(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_jaccard_join, op4_url_templates, op5_byte_bpe, op6_histogram_sort, op7_additive_model, op8_harmonic_packing, op9_embedding_dedup, op10_pii, op11_periodic_runs, op13_svd_whitening)}
+QUERIES = {f.__name__: f for f in (op1_masked_lm, op2_quality_rules, op3_jaccard_join, op4_url_templates, op5_byte_bpe, op6_histogram_sort, op7_additive_model, op8_harmonic_packing, op9_embedding_dedup, op10_pii, op11_periodic_runs, op12_suffix_dedup, op13_svd_whitening)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
