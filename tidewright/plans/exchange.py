@@ -185,18 +185,3 @@ def x34_rake_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = rows.withColumn("g", F.sum(F.col("stop").cast("int")).over(Window.partitionBy("doc_id").orderBy("i"))).filter("not stop")
     sized = runs.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "g"))).filter("n <= 3")
     return sized.groupBy("doc_id", F.col("w").alias("word")).agg(F.count("*").alias("frequency"), F.sum("n").alias("degree")).withColumn("score", F.round(F.col("degree") / F.col("frequency"), 6))
-
-
-@query("""select o_orderpriority as entity, o_custkey as alias_of, count(*) as mentions from orders group by 1, 2 qualify row_number() over (partition by o_orderpriority order by count(*) desc, o_custkey) <= 3""")
-def k11_alias_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three commonest aliases of every entity."""
-    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("entity"), F.col("o_custkey").alias("alias_of")).agg(F.count("*").alias("mentions"))
-    ranked = counts.withColumn("rn", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("mentions"), "alias_of")))
-    return ranked.filter("rn <= 3").drop("rn")
-
-
-@query("""with d as (select o_custkey survivor, o_orderkey merged, o_orderdate merged_at, o_orderstatus = 'P' undone from orders) select merged, case when undone then merged else survivor end as entity, case when undone then 'restored' else 'merged' end as state from d""")
-def k16_unmerge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged records go back to their own entity where the merge was undone."""
-    merges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("survivor"), F.col("o_orderkey").alias("merged"), (F.col("o_orderstatus") == "P").alias("undone"))
-    return merges.select("merged", F.when(F.col("undone"), F.col("merged")).otherwise(F.col("survivor")).alias("entity"), F.when(F.col("undone"), "restored").otherwise("merged").alias("state"))

@@ -18,15 +18,6 @@ def k15_merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(merged, F.col("user_id").eqNullSafe(F.col("user"))).select("survivor", F.col("event_id").alias("alias"), "mentions", "last_seen")
 
 
-@query("""select a.s_suppkey as a, b.s_suppkey as b, case when a.s_acctbal = b.s_acctbal then 'match' when a.s_nationkey <> b.s_nationkey then 'conflict' else 'none' end as verdict from supplier a join supplier b on b.s_suppkey = a.s_suppkey + 1""")
-def k13_identifier_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.create_map(F.lit("balance"), F.col("s_acctbal").cast("string"), F.lit("nation"), F.col("s_nationkey").cast("string")).alias("ids"))
-    a, b = s.select(F.col("s_suppkey").alias("a"), F.col("ids").alias("x")), s.select(F.col("s_suppkey").alias("b"), (F.col("s_suppkey") - 1).alias("a"), F.col("ids").alias("y"))
-    same = F.col("x")["balance"] == F.col("y")["balance"]
-    other = F.col("x")["nation"] != F.col("y")["nation"]
-    return a.join(b, "a").select("a", "b", F.when(same, "match").when(other, "conflict").otherwise("none").alias("verdict"))
-
-
 @query()
 def g29_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders linked by shared parts; every part links its orders as a star."""

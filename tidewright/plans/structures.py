@@ -9,12 +9,9 @@ from tidewright.functions import entities as E
 from tidewright.functions.records import json_depth
 from tidewright.operators import context
 from tidewright.operators.chunking import chunk_documents
-from tidewright.operators.dedup import spread_minimum
 from tidewright.operators.graph import shared_table
 from tidewright.operators.ranking import top_per_group
-from tidewright.operators.refine import split_components
 from tidewright.plans.exchange import _id_sql, name_id
-from tidewright.plans.further import k10_pair_scores
 from tidewright.plans.registry import query, table
 from tidewright.sources import repository as R
 
@@ -105,15 +102,6 @@ def m11_plane_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(E.plane_keys(F.col("embedding"))).alias("band"))
 
 
-@query()
-def g30_refined_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of accepted pairs, split where their parts agree too little on average."""
-    scores = shared_table(k10_pair_scores(spark, sf_dir).select(F.col("a").alias("u"), F.col("b").alias("v"), "score"), "scores")
-    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    members = shared_table(spread_minimum(nodes, scores.filter("score >= 0.75").select("u", "v")).select("node", F.col("label").alias("component")), "members")
-    return split_components(members, scores)
-
-
 _KINDS_SQL = " ".join(f"when w in ({', '.join(repr(x) for x in [k.lower(), *E.OTHER_WORDS.get(k, '').split()])}) then '{k}'" for k in E.TYPES)
 _REPORTED = "case p_partkey % 6 when 0 then ' Vendor ' when 1 then 'GPE' when 2 then 'person' when 3 then p_type when 4 then 'software' end"
 

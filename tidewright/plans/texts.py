@@ -98,20 +98,6 @@ def x26_content_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_documents(docs)
 
 
-@query("""select s_suppkey, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(s_name), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x not in ('inc','ltd','llc','gmbh','corp','supplier')), ' ') as name from supplier""")
-def x27_normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewright.functions.names import normalize_name
-
-    return table(spark, sf_dir, "supplier").select("s_suppkey", normalize_name(F.col("s_name"), ["inc", "ltd", "llc", "gmbh", "corp", "supplier"]).alias("name"))
-
-
-@query("""select distinct p_partkey, kind, value from (select p_partkey, unnest(['exact', 'prefix', 'tokens']) kind, unnest([p_name, substr(p_name, 1, 4), array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ')]) as value from part)""")
-def x29_blocking_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewright.functions.names import blocking_keys
-
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(blocking_keys(F.col("p_name"))).alias("k")).select("p_partkey", "k.kind", "k.value")
-
-
 @query(f"""with {_SQL_TOKENS}, w as (select doc_id, unnest(t) w from tok) select w as word, count(*) as frequency, count(distinct doc_id) as documents, round(count(*) / count(distinct doc_id), 6) as score from w where length(w) >= 5 group by 1""")
 def x34_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(T.dedup_form(F.col("text")))).alias("word")).filter(F.length("word") >= 5)
