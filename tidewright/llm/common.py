@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,7 +51,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps, which it does once the driver has collected what refers to them."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def drop_stored(df: DataFrame) -> None:
