@@ -15,7 +15,7 @@ from tidewright.operators.search import cosine
 from tidewright.plans.aggregates import dead_letters
 from tidewright.plans.graphs import TRADE, trade
 from tidewright.plans.ranking import JUDGED, judged
-from tidewright.plans.joins import quote_hits
+from tidewright.operators.spans import quote_hits
 from tidewright.plans.registry import query, table
 
 
@@ -130,11 +130,20 @@ def y11_current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"))
 
 
-@query("""select b.item_id, c.conv_id, c.turn, strpos(c.text, b.text) as position from benchmark b join conversations c on contains(c.text, b.text)""")
+@query("""with c as (select item_id as report, (item_id * 7 + n) % (select count(*) from documents) as cited, item_id, n from benchmark, (select unnest(range(0, 3)) n)), held as (select d.doc_id, b.item_id, b.text q, d.text t from documents d join benchmark b on contains(d.text, b.text)), k as (select item_id as report, doc_id as cited, item_id from held union select report, cited, item_id from c)
+select report, cited, item_id, d.doc_id is not null as resolved, coalesce(contains(d.text, b.text), false) as verified, case when contains(d.text, b.text) then strpos(d.text, b.text) end as position from k join benchmark b using (item_id) left join documents d on d.doc_id = k.cited""")
 def y14_verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All quotes against all turns in one read: the turns that hold each, and where."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return quote_hits(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], quotes)
+    """Stored citations (report, cited document, quote) in one read: whether each document is there and holds the quote, and where."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = shared_table(quote_hits(docs, ["doc_id"], items), "quote-hits")
+    n = docs.count()
+    loose = items.select(F.col("item_id").alias("report"), F.explode(F.array(*map(F.lit, range(3)))).alias("n"), "item_id").select("report", F.expr(f"(item_id * 7 + n) % {n}").alias("cited"), "item_id")
+    cited = shared_table(found.select(F.col("item_id").alias("report"), F.col("doc_id").alias("cited"), "item_id").unionByName(loose).distinct(), "citations")
+    there = docs.select(F.col("doc_id").alias("cited"), F.lit(True).alias("there"))
+    hits = found.select(F.col("doc_id").alias("cited"), "item_id", "position")
+    joined = cited.join(there, "cited", "left").join(hits, ["cited", "item_id"], "left")
+    return joined.select("report", "cited", "item_id", F.coalesce("there", F.lit(False)).alias("resolved"), F.col("position").isNotNull().alias("verified"), "position")
 
 
 @query("""with m as (select text, min(doc_id) canonical from documents group by 1) select doc_id, canonical from documents join m using (text) where doc_id <> canonical""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.text import tokens
 from tidewright.operators.joins import best_match, block_pairs, block_sizes, in_order, with_counts
+from tidewright.operators.spans import quote_hits
 from tidewright.plans.registry import query, table
 
 
@@ -143,27 +144,6 @@ def j17_passage_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(fused, table(spark, sf_dir, "documents"), "doc_id", "rank").select("rank", "doc_id", "source", "n_chars")
 
 
-def quote_hits(docs: DataFrame, ids: list[str], quotes: DataFrame) -> DataFrame:
-    """``ids`` of ``docs`` (with text), item_id and position (from 1) of every quote that a whole text holds.
-
-    Texts and quotes meet on a window of four words, then the whole quote is
-    tested.  The inner words of a quote are whole words of any text that holds it;
-    quotes of under six words have no such window and are tested directly.
-    """
-    sized = quotes.filter("quote != ''").withColumn("w", tokens(F.col("quote")))
-    anchors = sized.filter(F.size("w") >= 6).select("item_id", "quote", F.array_join(F.slice("w", 2, 4), " ").alias("anchor"))
-    short = sized.filter(F.size("w") < 6).select("item_id", "quote")
-    words = docs.select(*ids, "text", tokens(F.col("text")).alias("w")).filter(F.size("w") >= 4)
-    grams = words.select(*ids, "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("anchor"))
-    size = anchors.agg(F.coalesce(F.sum(F.length("quote")), F.lit(0))).first()[0]
-    met = grams.join(F.broadcast(anchors) if size < 8_000_000 else anchors, "anchor")
-    out = met.filter(F.contains("text", "quote")).select(*ids, "item_id", F.expr("instr(text, quote)").cast("long").alias("position")).distinct()
-    if short.isEmpty():
-        return out
-    direct = docs.join(F.broadcast(short) if short.count() < 10_000 else short, F.contains("text", F.col("quote")))
-    return out.union(direct.select(*ids, "item_id", F.expr("instr(text, quote)").cast("long").alias("position")))
-
-
 @query("""select b.item_id, count(d.doc_id) as found from benchmark b left join documents d on contains(d.text, b.text) group by 1""")
 def x42_quote_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of documents that hold each quote."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.operators.dedup import cluster_documents
 from tidewright.operators.graph import shared_table
-from tidewright.plans.joins import quote_hits
+from tidewright.operators.spans import quote_hits, resolve_mentions
 from tidewright.plans.registry import query, table
 
 
@@ -127,11 +127,29 @@ def x38_dominant_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", dominant_script(F.col("text")).alias("script"))
 
 
-@query("""select d.doc_id, b.item_id, strpos(d.text, b.text) as position from documents d join benchmark b on contains(d.text, b.text)""")
+_SPANS = "(d.doc_id + b.item_id) % 4"
+
+
+@query(f"""with h as (select d.doc_id, b.item_id, {_SPANS} k, strpos(d.text, b.text) - 1 p, strpos(lower(d.text), lower(b.text)) - 1 q, length(b.text) n from documents d join benchmark b on contains(d.text, b.text)) select doc_id, item_id, (case when k < 2 then p else q end)::int as start, (case when k < 2 then p else q end + n)::int as "end", case k when 0 then 'reported' when 1 then 'exact' when 2 then 'case' else 'blanks' end as tier from h""")
 def x39_locate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every item stands in every document that holds it, literally."""
+    """Every item in every document that holds it, reported rightly, with a wrong offset, in capitals or with wider blanks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return quote_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], items)
+    k = F.expr("(doc_id + item_id) % 4")
+    surface = F.when(k == 2, F.upper("quote")).when(k == 3, F.replace("quote", F.lit(" "), F.lit("  "))).otherwise(F.col("quote"))
+    start = F.when(k == 0, F.col("position") - 1).when(k == 1, F.col("position") + 6).cast("int")
+    told = quote_hits(docs, ["doc_id"], items).join(items, "item_id").select("doc_id", F.col("item_id").alias("ord"), surface.alias("surface"), start.alias("start"), F.when(k < 2, start + F.length("quote")).cast("int").alias("end"))
+    numbered = told.withColumn("reported", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).select("doc_id", "reported", F.col("ord").alias("item_id"))
+    return resolve_mentions(docs, told).join(numbered, ["doc_id", "reported"]).select("doc_id", "item_id", "start", "end", "tier")
+
+
+@query()
+def x40_verified_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words as mentions of their documents: each takes a place of its own, 64 a document, by start."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), 1)).alias("ord", "surface"))
+    none = F.lit(None).cast("int")
+    return resolve_mentions(docs, words.select("doc_id", "ord", "surface", none.alias("start"), none.alias("end"))).select("doc_id", "reported", "start", "end", "surface", "tier", "position")
 
 
 @query("""select p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from part""")
