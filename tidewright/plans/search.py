@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.operators.ranking import reciprocal_rank_fusion, top_per_group
-from tidewright.operators.search import bm25, nearest, postings
+from tidewright.operators.search import entity_search, nearest, query_clauses, search, store_index
 from tidewright.plans.registry import query, table
 
 
+def words(text) -> Column:
+    return T.tokens(T.dedup_form(text))
+
+
 def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of over four letters of every benchmark item whose id is divisible by 20."""
-    words = F.filter(T.tokens(T.dedup_form(F.col("text"))), lambda w: F.length(w) > 4)
+    long = F.filter(words(F.col("text")), lambda w: F.length(w) > 4)
     items = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0")
-    return items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(words)).alias("token")).withColumn("boost", F.lit(1.0))
+    return items.select(F.col("item_id").alias("query_id"), F.array_distinct(long).alias("tokens"))
 
 
 _TOK = "regexp_extract_all(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[\\p{L}\\p{N}_]+')"
@@ -25,10 +29,10 @@ s as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 
 
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", T.tokens(T.dedup_form(F.col("text"))).alias("t"))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    scored = bm25(postings(words, F.col("t")), totals, keyword_queries(spark, sf_dir)).withColumn("score", F.round("score", 8))
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], 20, "rank")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words(F.coalesce("text", F.lit(""))).alias("t"))
+    asked = keyword_queries(spark, sf_dir).withColumns({"clause": F.lit("text"), "field": F.lit("text"), "kind": F.lit("match"), "boost": F.lit(1.0)})
+    found = search(store_index(docs, {"text": F.col("t")}), asked, 25).withColumn("score", F.round("score", 8))
+    return top_per_group(found.drop("rank"), ["query_id"], [F.desc("score"), F.col("doc_id")], 20, "rank")
 
 
 @query(f"with {_SQL_BM25} select query_id, doc_id, round(round(score, 8), 6) as score, row_number() over (partition by query_id order by round(score, 8) desc, doc_id) as rank from s qualify rank <= 20")
@@ -65,6 +69,46 @@ def k09_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "backends")
 
 
+def fielded_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of documents by text, title (the first line) and keywords (source and language)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", words(F.coalesce("text", F.lit(""))).alias("text"), words(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).alias("title"), F.array_compact(F.array(F.lower("source"), F.lower("lang"))).alias("keywords"))
+    return store_index(docs, {c: F.col(c) for c in ("text", "title", "keywords")})
+
+
+def fielded_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries of four words from benchmark items whose id is divisible by 20, with longer runs as expansions and sources as keywords."""
+    items = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("w"))
+    more = items.select("query_id", F.posexplode(F.array(F.slice("w", 5, 3), F.slice("w", 9, 2))).alias("ord", "tokens"))
+    terms = items.select("query_id", F.explode(F.array(F.struct(F.concat(F.lit("src"), F.col("query_id") % 7).alias("term"), F.lit(0.8).alias("weight")), F.struct(F.lit(" EN ").alias("term"), F.lit(0.5).alias("weight")))).alias("k")).select("query_id", "k.*")
+    return items.select("query_id", F.slice("w", 1, 4).alias("tokens")), more, terms
+
+
+@query()
+def k01_fielded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and phrases in text and title, expansions and keywords, documents of some length only (unscored)."""
+    queries, more, terms = fielded_queries(spark, sf_dir)
+    long = table(spark, sf_dir, "documents").filter("n_chars >= 200").select("doc_id")
+    found = search(fielded_index(spark, sf_dir), query_clauses(queries, more, terms), 50, long)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def k02_keyword_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query with its expansions, or alone where it has none."""
+    queries, more, _ = fielded_queries(spark, sf_dir)
+    found = search(fielded_index(spark, sf_dir), query_clauses(queries, more.filter("query_id % 40 = 0")), 20)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def g19_entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by name, brand and type for every twentieth part's name; parts of the small sizes alone are shown."""
+    part = table(spark, sf_dir, "part")
+    entities = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_brand", F.concat_ws(" ", "p_brand", "p_name")).alias("aliases"), F.concat_ws(" ", "p_type", "p_name", F.col("p_size").cast("string")).alias("description"), "p_size")
+    asked = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), words(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
+    return entity_search(entities, asked, words, 10, F.col("p_size") <= 25)
+
+
 @query("""select doc_id, source || ' #' || doc_id || ' (' || lang || ')' as rendered from documents""")
 def k20_render_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.format_string("%s #%d (%s)", "source", "doc_id", "lang").alias("rendered"))
