@@ -9,16 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder of the session and read back: cuts the lineage of a loop."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that the cluster shares.  Without one there is no table that all executors see: an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local["):
+        # One machine, as in tests: its own folder is shared by all.
         base = tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder of the session and read back: cuts the lineage of a loop."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def project(edges: DataFrame) -> DataFrame:

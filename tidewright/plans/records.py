@@ -52,7 +52,7 @@ def s19_archive_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select event_id from events qualify row_number() over (partition by user_id, event_type order by event_id) = 1""")
-def r04_seen_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r04_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sighting per key over a stream that is drained; state keeps one row a key."""
     from tidewright.streaming.dedup import first_sightings
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.operators.graph import shared_folder
+
 
 def write_archive(payloads: DataFrame, path: str | None = None) -> str:
     """Write (platform, item, raw) with the digest of every payload, by platform, and return the path."""
     if path is None:
-        spark = payloads.sparkSession
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewright-")
-        path = f"{base.rstrip('/')}/archive-{uuid.uuid4().hex}"
+        path = shared_folder(payloads.sparkSession, "archive")
     payloads.withColumn("sha256", F.sha2("raw", 256)).write.partitionBy("platform").option("compression", "zstd").parquet(path)
     return path
 

@@ -2,55 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators.graph import shared_table
-
-
-def _place(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _stream(spark: SparkSession, path: str) -> DataFrame:
-    # A pattern instead of the path, as a stream takes a single file only by pattern.
-    folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
+from tidewright.streaming.workers import drain, file_stream, place
 
 
 def first_sightings(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The event with the smallest id per key, kept by a streaming aggregation and drained once."""
-    rows = _stream(spark, path).groupBy(*keys).agg(F.min("event_id").alias("event_id"))
-    return _drain(rows, spark)
-
-
-def _drain(rows: DataFrame, spark: SparkSession) -> DataFrame:
-    out, state = _place(spark, "drained"), _place(spark, "offsets")
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    rows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    """The event with the smallest id per key: every micro-batch stores its own, the least of these counts."""
+    least = lambda rows: rows.groupBy(*keys).agg(F.min("event_id").alias("event_id"))
+    return least(drain(file_stream(spark, path), {"first": least}, place(spark, "sightings"))["first"])
 
 
 def drained_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Counts and sums per event type, merged batch by batch; a batch that is replayed replaces its own earlier part."""
-    parts: dict[int, DataFrame] = {}
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        parts[batch_id] = shared_table(batch.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("event_id").alias("first_event")), "totals")
-
-    _stream(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", _place(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    whole = None
-    for part in parts.values():
-        whole = part if whole is None else whole.unionByName(part)
-    return whole.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("first_event").alias("first_event"))
+    """Counts and sums per event type, from the stored parts of all micro-batches; a batch that is replayed replaces its own part."""
+    parts = drain(file_stream(spark, path), {"totals": lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("event_id").alias("first_event"))}, place(spark, "totals"))["totals"]
+    return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("first_event").alias("first_event"))
