@@ -66,18 +66,13 @@ def pagerank(nodes: DataFrame, both_ways: DataFrame, rounds: int = 20, damping:
     return state.select("node", "rank")
 
 
-def neighbourhood(seeds: DataFrame, both_ways: DataFrame, hops: int, fanout: int, decay: float = 0.6) -> DataFrame:
-    """(node, hop, score) reached from the seeds: per parent the best ``fanout`` edges, scores summed over paths, the first hop kept."""
-    from tidewright.operators.ranking import top_per_group
-
-    frontier = seeds.select("node", F.lit(1.0).alias("score"))
-    seen = frontier.withColumn("hop", F.lit(0))
-    capped = top_per_group(both_ways, ["src"], [F.desc("weight"), F.col("dst")], fanout)
-    for hop in range(1, hops + 1):
-        reached = frontier.join(capped, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("weight") * decay).alias("score"))
-        frontier = reached.join(seen, "node", "left_anti")
-        seen = seen.unionByName(frontier.withColumn("hop", F.lit(hop)))
-    return seen
+def neighbourhood(seeds: DataFrame, both_ways: DataFrame, hops: int, fanout: int) -> DataFrame:
+    """(node, hop, score) reached from one set of seeds (node) over weights as confidences."""
+    from tidewright.operators.traversal import path_scores
+
+    open_ = F.lit(None).cast("timestamp")
+    edges = both_ways.select("src", "dst", F.col("weight").alias("confidence"), open_.alias("valid_from"), open_.alias("valid_to"))
+    return path_scores(seeds.withColumn("query_id", F.lit(0)), edges, hops, fanout).select("node", "hop", "score")
 
 
 def modularity(both_ways: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import text as T
 from tidewright.operators.dedup import near_pairs, spread_minimum
 from tidewright.operators.filters import Filters, compile_filters
-from tidewright.operators.graph import conductance, neighbourhood, project, shared_table
+from tidewright.operators.graph import conductance, project, shared_table
 from tidewright.operators.joins import best_match
 from tidewright.operators.ranking import retrieval_metrics, top_per_group
 from tidewright.operators.search import cosine
@@ -66,24 +66,6 @@ def j11_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(hops, ["src"], [F.desc("weight"), F.col("dst")], 5).select(F.col("src").alias("parent"), F.col("dst").alias("node"), "rn")
 
 
-@query(f"with {TRADE}, c as (select * from edges qualify row_number() over (partition by src order by weight desc, dst) <= 4), s as (select dst node, sum(0.6 * weight) score from c where src in (1, 2) group by 1) select node, round(score, 6) as score from s where node not in (1, 2)")
-def w04_path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores add up over the paths from several seeds; seeds keep hop 0."""
-    seeds = spark.createDataFrame([(1,), (2,)], "node int")
-    reached = neighbourhood(seeds, project(trade(spark, sf_dir)), hops=1, fanout=4)
-    return reached.filter("hop = 1").select("node", F.round("score", 6).alias("score"))
-
-
-@query(f"with {TRADE}, c as (select * from edges qualify row_number() over (partition by src order by weight desc, dst) <= 3), h as (select dst node, sum(0.6 * weight) score from c where src = 5 group by 1), s as (select c_custkey, score from customer join h on node = c_nationkey) select o_orderkey, round(score * (o_totalprice / 500000), 6) as score from orders join s on s.c_custkey = o_custkey order by round(score * (o_totalprice / 500000), 6) desc, o_orderkey limit 50")
-def k08_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of the entities around a seed, by path score times salience."""
-    seeds = spark.createDataFrame([(5,)], "node int")
-    near = neighbourhood(seeds, project(trade(spark, sf_dir)), hops=1, fanout=3).filter("hop = 1").select(F.col("node").alias("c_nationkey"), F.col("score").alias("path"))
-    people = table(spark, sf_dir, "customer").join(F.broadcast(near), "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "path")
-    scored = table(spark, sf_dir, "orders").join(people, "o_custkey").select("o_orderkey", F.round(F.col("path") * (F.col("o_totalprice") / 500000), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "o_orderkey").limit(50)
-
-
 def _print(c: str) -> Column:
     """A stand-in 64-bit fingerprint that differs in few bits for neighbouring ids."""
     return (F.floor(F.col(c) / 4) * 2654435761 + F.pmod(F.col(c), F.lit(4))).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators.graph import conductance, degree_centrality, modularity, neighbourhood, pagerank, project
+from tidewright.operators.graph import conductance, degree_centrality, modularity, pagerank, project
 from tidewright.operators.ranking import least_values
 from tidewright.plans.registry import query, table
 
@@ -65,22 +65,6 @@ def g17_community_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("community")).agg(F.concat(F.lit("com_"), F.substring(F.sha2(members, 256), 1, 24)).alias("community_id"))
 
 
-@query(f"""with {TRADE}, c as (select * from edges qualify row_number() over (partition by src order by weight desc, dst) <= 3), h1 as (select dst node, sum(0.6 * weight) score from c where src = 0 group by 1), h1n as (select * from h1 where node <> 0), h2 as (select dst node, sum(score * weight * 0.6) score from h1n join c on src = node group by 1)
-select 0 as node, 0 as hop, 1.0::double as score union all select node, 1, round(score, 5) from h1n union all select node, 2, round(score, 5) from h2 where node <> 0 and node not in (select node from h1n)""")
-def g26_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = nodes(spark, sf_dir).filter("node = 0")
-    return neighbourhood(seeds, project(trade(spark, sf_dir)), hops=2, fanout=3).select("node", "hop", F.round("score", 5).alias("score"))
-
-
-@query("""select distinct o2.o_orderkey from orders o1 join lineitem l1 on l1.l_orderkey = o1.o_orderkey join lineitem l2 on l2.l_partkey = l1.l_partkey join orders o2 on o2.o_orderkey = l2.l_orderkey where o1.o_custkey = 7 and o2.o_orderdate >= timestamp '1997-01-01'""")
-def g18_neighbourhood_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    start = table(spark, sf_dir, "orders").filter("o_custkey = 7").select(F.col("o_orderkey").alias("l_orderkey"))
-    parts = lines.join(start, "l_orderkey", "left_semi").select("l_partkey").distinct()
-    recent = table(spark, sf_dir, "orders").filter("o_orderdate >= timestamp_ntz'1997-01-01'").select(F.col("o_orderkey"))
-    return recent.join(lines.join(parts, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
-
-
 @query("""select n_nationkey, n_name from nation where n_nationkey = 7""")
 def g20_entity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").filter("n_nationkey = 7").select("n_nationkey", "n_name")
