@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,58 @@ def dedup_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, ZERO_WIDTH, "")), r"\s+", " "))
 
 
+# Campaign parameters of addresses inside texts, and tails that feeds append.
+CAMPAIGN = ("fbclid", "gclid", "gbraid", "wbraid", "msclkid", "yclid", "igshid", "mc_cid", "mc_eid", "_hsenc", "_hsmi")
+ADDRESS = r"""(?i)https?://[^\s<>"')\]]+"""
+TAIL = r"(?i)\s*(?:[\[(]\s*)?(?:…|\.{3})?\s*(?:read more|read the full (?:story|article)|continue reading|see more|view more|view full article|full story|the post .{0,160}? appeared first on .{0,80})\s*[.…]*\s*(?:[\])])?\s*$"
+TAILS = 3
+
+
+def replaced_by(text: Column, pattern: str, made) -> Column:
+    """``text`` with what ``made`` returns for each match of ``pattern`` in its place."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    pairs = F.zip_with(between, F.array_append(F.transform(found, made), F.lit("")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.size(found) > 0, F.array_join(pairs, "")).otherwise(text)
+
+
+def plain_address(url: Column) -> Column:
+    """Scheme and host in lower case, no campaign parameters, no fragment; the other parameters in order, encoded one way."""
+    bare = F.split(url, "#", 2)[0]
+    head, params = F.split(bare, r"\?", 2)[0], F.get(F.split(bare, r"\?", 2), F.lit(1))
+    start = F.concat(F.lower(F.regexp_extract(head, "^[A-Za-z]+://[^/]*", 0)), F.regexp_replace(head, "^[A-Za-z]+://[^/]*", ""))
+    coded = lambda x: F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(x), x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    each = F.filter(F.split(F.coalesce(params, F.lit("")), "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=", 2)[0]).isin(*CAMPAIGN) & ~F.lower(p).startswith("utm_"))
+    kept = F.transform(each, lambda p: F.concat(coded(F.split(p, "=", 2)[0]), F.lit("="), coded(F.coalesce(F.get(F.split(p, "=", 2), F.lit(1)), F.lit("")))))
+    return F.concat(start, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+
+
+def compatible(text: Column) -> Column:
+    """NFKC.  Spark has no such function."""
+    return F.pandas_udf(lambda t: t.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)), "string", F.PandasUDFType.SCALAR)(text)
+
+
+def canonical_text(text: Column) -> Column:
+    """What content hashes are taken over: compatible characters, none invisible, plain addresses, lower case, single blanks, and up to TAILS tails of feeds gone."""
+    out = replaced_by(F.regexp_replace(compatible(text), ZERO_WIDTH, ""), ADDRESS, plain_address)
+    out = F.trim(F.regexp_replace(F.lower(out), r"(?U)\s+", " "))
+    for _ in range(TAILS):
+        out = F.trim(F.regexp_replace(out, TAIL, ""))
+    return out
+
+
+# Patterns and marks of personal data.
+EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
+CARD = r"(?<![\d\-])(?:\d[ \-]?){12,18}\d(?![\d\-])"
+PHONE = r"(?U)(?<![\w+])(?:\+\d{1,3}[\s.\-]?(?:\(?\d{1,4}\)?[\s.\-]?){1,4}\d{2,4}|\(\d{2,4}\)\s?\d{2,4}[\s.\-]?\d{2,4}|\b\d{3}[.\-]\d{3}[.\-]\d{4}\b)(?!\w)"
+
+
+def redacted(text: Column) -> Column:
+    """Addresses, then card numbers that pass Luhn's test, then phone numbers, each by its mark."""
+    digits = lambda c: F.regexp_replace(c, r"[ \-]", "")
+    card = lambda c: F.when(F.length(digits(c)).between(13, 19) & F.call_function("luhn_check", digits(c)), "[CARD]").otherwise(c)
+    return F.regexp_replace(replaced_by(F.regexp_replace(text, EMAIL, "[EMAIL]"), CARD, card), PHONE, "[PHONE]")
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1)
 

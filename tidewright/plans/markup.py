@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import decoding as D
 from tidewright.functions import markup as M
 from tidewright.functions import text as T
 from tidewright.plans.registry import query, table
@@ -36,7 +37,7 @@ def x06_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHROME = ", ".join(f"'{c}'" for c in M.CHROME)
 
 
-@query(f"""select page_id, array_to_string(list_filter(flatten(list_transform(regexp_extract_all(lower(html), '\\b(?:class|id|role)\\s*=\\s*["'']([^"'']*)["'']', 1), lambda v: string_split_regex(v, '[^a-z0-9]+'))), lambda t: t in ({_CHROME})), ' ') as marks, len(regexp_extract_all(html, '(?i)<(?:img|iframe|image)\\b[^>]*\\b(?:width|height)\\s*=\\s*["'']?[01]["''\\s/>]'))::bigint as pixels from pages""")
+@query(f"""select page_id, array_to_string(list_filter(flatten(list_transform(regexp_extract_all(lower(html), '\\b(?:class|id|role|data-testid)\\s*=\\s*["'']([^"'']*)["'']', 1), lambda v: string_split_regex(v, '[^a-z0-9]+'))), lambda t: t in ({_CHROME})), ' ') as marks, len(regexp_extract_all(html, '(?i)<(?:img|iframe|image)\\b[^>]*\\b(?:width|height)\\s*=\\s*["'']?[01]["''\\s/>]'))::bigint as pixels from pages""")
 def x07_boilerplate_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(M.chrome_marks(F.col("html")), " ").alias("marks"), M.tracking_pixels(F.col("html")).alias("pixels"))
 
@@ -48,9 +49,47 @@ def x03_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(clean, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[email]").alias("clean"))
 
 
-_TYPES = "case event_id % 7 when 0 then 'text/html; charset=utf-8' when 1 then 'Application/JSON' when 2 then 'text/plain' when 3 then 'image/png' when 4 then 'application/atom+xml' when 5 then '' end"
+_TYPES = "case event_id % 9 when 0 then 'text/html; charset=utf-8' when 1 then 'Application/JSON' when 2 then 'text/plain' when 3 then 'image/png' when 4 then 'application/atom+xml' when 5 then '' when 6 then 'text/csv' when 7 then 'application/x-unknown' end"
+_IN = lambda names: ", ".join(f"'{n}'" for n in names)
 
 
-@query(f"""with t as (select event_id, lower(trim(split_part(coalesce({_TYPES}, ''), ';', 1))) k from events) select event_id, case when k in ('text/html', 'application/xhtml+xml') then 'markup' when k in ('application/json', 'application/xml', 'text/xml', 'text/csv') or k like '%+json' or k like '%+xml' then 'structured' when k = '' or k like 'text/%' then 'plain' else 'binary' end as family from t""")
+@query(f"""with t as (select event_id, lower(trim(split_part(coalesce({_TYPES}, ''), ';', 1))) k from events) select event_id, case when k in ({_IN(M.BINARY_TYPES)}) or regexp_matches(k, '^(image|audio|video|font)/') then 'binary' when k in ({_IN(M.STRUCTURED_TYPES)}) or k like '%+json' then 'structured' when k in ({_IN(M.MARKUP_TYPES)}) or k like '%+xml' then 'markup' else 'plain' end as family from t""")
 def x01_content_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", M.content_family(F.expr(_TYPES)).alias("family"))
+
+
+_LATIN = r"^[\x09\x0A\x0D\x20-\x7E\u00A0-\u00FF]*$"
+
+
+@query("select page_id, html as text from pages")
+def x02_decoded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written in several charsets, rightly, wrongly or not declared, read back as text."""
+    plain = F.col("html").rlike(_LATIN)
+    k = F.col("page_id") % 6
+    utf8 = F.encode("html", "UTF-8")
+    raw = F.when(k == 0, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when(k == 1, F.encode("html", "UTF-16")).when(k == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE"))).when((k == 3) & plain, F.encode("html", "ISO-8859-1")).otherwise(utf8)
+    kind = F.when((k == 3) & plain, "text/html; charset=latin-1").when(k == 4, "text/html; charset=iso-8859-1").when(k == 5, 'text/html; charset="no-such"')
+    return table(spark, sf_dir, "pages").select("page_id", D.decode_bytes(raw, kind)["text"].alias("text"))
+
+
+@query()
+def x03_cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by family: readable text of markup, other text with its blanks collapsed, personal data marked; binary bodies and such with NUL are refused."""
+    kind = F.when(F.col("page_id") % 5 == 0, "application/pdf").when(F.col("page_id") % 5 == 1, "text/plain").otherwise("text/html")
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", M.content_family(kind).alias("family"))
+    refused = F.when(F.col("family") == "binary", "binary").when(F.contains("html", F.lit("\x00")), "nul")
+    read = F.when(F.col("family") == "markup", T.collapse_whitespace(M.page_text(F.col("html")))).otherwise(T.collapse_whitespace(F.col("html")))
+    return pages.select("page_id", "family", refused.alias("refused"), F.when(refused.isNull(), T.redacted(read)).alias("clean"))
+
+
+@query()
+def x09_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with addresses, card numbers and phone numbers marked."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.redacted(F.col("text")).alias("redacted"))
+
+
+@query("""with u as (select doc_id, 'Ｓee HTTPS://Ex.COM/A?utm_source=x&b=2&fbclid=1#top ' || text || case doc_id % 3 when 0 then ' ... Read more' when 1 then ' [Continue reading] see more.' else '' end as t from documents) select doc_id, trim(regexp_replace('see https://ex.com/a?b=2 ' || lower(d.text), '\s+', ' ', 'g')) as canonical from documents d""")
+def x13_canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents behind a tracked address and before the tails of feeds, in the form that is hashed."""
+    tail = F.when(F.col("doc_id") % 3 == 0, " ... Read more").when(F.col("doc_id") % 3 == 1, " [Continue reading] see more.").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", T.canonical_text(F.concat(F.lit("Ｓee HTTPS://Ex.COM/A?utm_source=x&b=2&fbclid=1#top "), "text", tail)).alias("canonical"))

@@ -102,7 +102,7 @@ def m11_plane_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.explode(E.plane_keys(F.col("embedding"))).alias("band"))
 
 
-_KINDS_SQL = " ".join(f"when w in ({', '.join(repr(x) for x in [k.lower(), *E.OTHER_WORDS.get(k, '').split()])}) then '{k}'" for k in E.TYPES)
+_KINDS_SQL = " ".join(f"when w in ({', '.join(repr(y) for y in [k.lower(), *[w for w, x in E.OTHER_WORDS.items() if x == k]])}) then '{k}'" for k in E.TYPES)
 _REPORTED = "case p_partkey % 6 when 0 then ' Vendor ' when 1 then 'GPE' when 2 then 'person' when 3 then p_type when 4 then 'software' end"
 
 
