@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_HEADING = re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+(?=\S)", re.M)
 
 
 def _spans(text: str, cut: re.Pattern, base: int = 0) -> list[tuple[int, int]]:
@@ -53,14 +55,73 @@ def split_text(text: str | None, most: int = 2000, overlap: int = 200) -> list[t
     return out
 
 
-def _chunk(most: int, overlap: int):
+def split_sections(text: str | None, most: int = 2000, overlap: int = 200) -> list[tuple[int, int]]:
+    """Chunks as by :func:`split_text` of each section alone; a section starts at a heading line, or with the text."""
+    text = text or ""
+    starts = sorted({0, *(m.start() for m in _HEADING.finditer(text))})
+    return [(s + a, s + b) for s, e in zip(starts, [*starts[1:], len(text)]) for a, b in split_text(text[s:e], most, overlap)]
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """doc_id, section (from 0), start, end, level, title and path of the sections of every document.
+
+    A section runs from its heading line (one to six # and a title) to the next one,
+    blank ends left out; what stands before the first heading is a section of level 0.
+    path holds the titles above it and its own.  Lines carry their offsets along,
+    and the headings in force at each level are the last ones seen, unless a
+    shallower one came later.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    along = Window.partitionBy("doc_id").orderBy("n")
+    marks = F.regexp_extract("line", r"^[ \t]{0,3}(#{1,6})[ \t]+\S", 1)
+    placed = lines.withColumns({"first": F.sum(F.length("line") + 1).over(along) - F.length("line") - 1, "level": F.length(marks)})
+    title = F.when(F.col("level") > 0, F.trim(F.regexp_replace("line", r"^[ \t]{0,3}#{1,6}[ \t]+", "")))
+    numbered = placed.withColumns({"title": title, "heads": F.sum((F.col("level") > 0).cast("int")).over(along)})
+    for k in range(1, 7):
+        here = F.when(F.col("level") == k, F.struct("n", "title"))
+        numbered = numbered.withColumn(f"h{k}", F.last(here, ignorenulls=True).over(along))
+    valid = []
+    for k in range(1, 7):
+        newer = [F.coalesce(F.col(f"h{j}.n") > F.col(f"h{k}.n"), F.lit(False)) for j in range(1, k)]
+        stale = newer[0] if newer else F.lit(False)
+        for x in newer[1:]:
+            stale = stale | x
+        valid.append(F.when(~stale, F.col(f"h{k}.title")))
+    solid = F.length(F.trim(F.regexp_replace("line", r"\s+", " "))) > 0
+    lead, trail = F.length("line") - F.length(F.regexp_replace("line", r"^\s+", "")), F.length(F.regexp_replace("line", r"\s+$", ""))
+    grouped = numbered.groupBy("doc_id", "heads").agg(
+        F.min(F.when(solid, F.col("first") + lead)).alias("start"), F.max(F.when(solid, F.col("first") + trail)).alias("end"),
+        F.max("level").alias("level"), F.min_by("title", "n").alias("title"), F.min_by(F.array_compact(F.array(*valid)), "n").alias("path"),
+    )
+    kept = grouped.filter("start is not null")
+    order = Window.partitionBy("doc_id").orderBy("heads")
+    return kept.select("doc_id", (F.row_number().over(order) - 1).alias("section"), "start", "end", "level", "title", "path")
+
+
+def _sentences(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        rows = []
+        for d, t in zip(part["doc_id"], part["text"]):
+            for p, (s, e) in enumerate(_spans(t or "", _PARAGRAPH)):
+                rows.append((d, "paragraph", p, s, e))
+                rows += [(d, "sentence", p, a, b) for a, b in _spans(t[s:e], _SENTENCE, s)]
+        yield pd.DataFrame(rows, columns=["doc_id", "kind", "paragraph", "start", "end"])
+
+
+def text_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, kind (paragraph or sentence), paragraph, start and end in code points of every paragraph and its sentences."""
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(_sentences, "doc_id long, kind string, paragraph int, start int, end int")
+
+
+def _chunk(most: int, overlap: int, cut=split_text):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(d, i, s, e, t[s:e]) for d, t in zip(part["doc_id"], part["text"]) for i, (s, e) in enumerate(split_text(t, most, overlap))]
+            rows = [(d, i, s, e, t[s:e]) for d, t in zip(part["doc_id"], part["text"]) for i, (s, e) in enumerate(cut(t, most, overlap))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "char_start", "char_end", "chunk"])
 
     return run
 
 
-def chunk_documents(docs: DataFrame, most: int = 2000, overlap: int = 200) -> DataFrame:
-    return docs.select("doc_id", "text").mapInPandas(_chunk(most, overlap), "doc_id long, chunk_index int, char_start int, char_end int, chunk string")
+def chunk_documents(docs: DataFrame, most: int = 2000, overlap: int = 200, headings: bool = False) -> DataFrame:
+    """doc_id, chunk_index, char_start, char_end, chunk; with ``headings`` no chunk holds parts of two sections."""
+    return docs.select("doc_id", "text").mapInPandas(_chunk(most, overlap, split_sections if headings else split_text), "doc_id long, chunk_index int, char_start int, char_end int, chunk string")
