@@ -82,3 +82,19 @@ def test_deep_and_unlabelled_branches_get_their_own_verdict(spark):
     labels = pages.filter("url not like '%clean%'").select("page_id", F.col("url").contains("spam").alias("bad"))
     out = {r["page_id"]: r["verdict"] for r in U.filter_urls(pages, labels).collect()}
     assert all((out[i] == "block") == ("spam" in u) for i, u in enumerate(urls))
+
+
+def test_repeated_rows_and_copies_of_the_holdout_change_no_cutoff(spark):
+    """The bound holds for independent trials only: copies of good rows must not certify a cutoff."""
+    good = [(i, f"word{i} " + " ".join(f"w{i}x{k}" for k in range(40)), "en") for i in range(60)]
+    bad = [(1000 + i, " ".join(f"b{i}#{k}### $$$" for k in range(40)), "en") for i in range(60)]
+    marks = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad], "doc_id long, quality int")
+    schema = "doc_id long, text string, lang string"
+    cutoffs = lambda rows, labels: Q.certified_cutoffs(Q.text_counts(spark.createDataFrame(rows, schema).select("doc_id", "text", Q.stratum().alias("stratum"), Q.text_key()), "doc_id", "stratum", "text_key"), labels)
+    assert cutoffs(good + bad, marks) == {} == cutoffs(good * 30 + bad * 30, marks)
+    copies = [(10_000 + 100 * n + i, t, "en") for n in range(30) for i, t, _ in good]
+    more = marks.unionByName(spark.createDataFrame([(i, 1) for i, *_ in copies], "doc_id long, quality int"))
+    assert cutoffs(good + bad + copies, more) == {}
+    many = [(100_000 + i, f"other{i} " + " ".join(f"v{i}x{k}" for k in range(25)), "en") for i in range(1500)]
+    sure = marks.unionByName(spark.createDataFrame([(i, 1) for i, *_ in many], "doc_id long, quality int"))
+    assert cutoffs(good + bad + many, sure) != {}

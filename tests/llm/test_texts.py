@@ -364,3 +364,20 @@ def test_shards_stay_even_with_a_large_group(spark, hot):
     narrow = docs.select(H._key().alias("key"), F.xxhash64("doc_id").alias("sub"), F.lit(1).cast("long").alias("size"))
     cuts = [0, *[n for *_, n in H.cuts_of(narrow, 8)], 6000]
     assert max(b - a for a, b in zip(cuts, cuts[1:])) < 800
+
+
+def test_shards_stay_even_when_a_third_of_the_rows_are_one_row(spark, monkeypatch):
+    """Rows that are equal in all columns are parted too, in ranges cut by bytes and rows."""
+    monkeypatch.setattr(H, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(H, "RANGE_ROWS", 100)
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("one and the same row")).otherwise(F.concat(F.lit("own "), F.col("id").cast("string"))).alias("text"))
+    rows = H.place(docs, 8).select("row.doc_id", "row.text", "size", "shard", "slot").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    total = sum(r["size"] for r in rows)
+    for s in range(8):
+        own = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 8) < 0.02 * total / 8 + 25
+    same = H.place(docs.filter("doc_id = 7"), 5).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in same) == 1000 and all(abs(r["count"] - 200) <= 0.01 * 200 + 1 for r in same)
+    assert H.place(docs.filter("doc_id = 7").limit(3), 8).count() == 3

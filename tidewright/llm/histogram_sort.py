@@ -1,39 +1,42 @@
 """Sharding by histogram sort.
 
-Rows are ordered by a 64-bit hash of their text, then by one of the whole row, so
-equal texts stay together unless their group is too large for an even cut.
+Rows are ordered by a 64-bit hash of their text, then by one of a number that each
+row got when it was stored, so equal texts stay together unless their group is too
+large for an even cut, and rows that are equal in all columns can be parted too.
 Splitters between shards start as candidate key boundaries; exact bytes and
 rows below each are counted over all partitions, and every interval that still
 holds a wanted cut is probed again more finely, until the cuts are within the
 tolerance or fall between two neighbouring keys.  A cut that misses by more than
 GROUP_SHARE of a shard is then sought in the same way by the second hash, inside
-the group of copies that it falls in.  Ranges of the exchange are cut by bytes
-and rows alike, so that neither long nor many short texts fill one.  Then rows
-are exchanged once and numbered in order within ranges whose sizes are known
-from the counts.
-
-Defined cases: a null text counts as 1 byte and sits with other nulls; rows
-that are equal in all columns cannot be told apart and are never parted; a shard
-can miss its even share by GROUP_SHARE or the size of one row; with fewer texts than shards some shards are empty; an empty
-table gives an empty result; further columns stay in ``place``.
+the group of copies that it falls in.  Then rows are exchanged once, into ranges of
+a shard: cells of the key's first bits, of RANGE_BYTES or RANGE_ROWS on average at
+most; a cell that a group of copies fills beyond that is dealt out by the second
+hash.  Cells are counted before, so that rows are numbered within them and stay
+without gaps.
+
+Defined cases: a null text counts as 1 byte and sits with other nulls; a text of
+any length is one row and never cut; a shard can miss its even share by GROUP_SHARE
+or the size of one row; with fewer rows than shards some shards are empty; an empty
+table gives an empty result; further columns stay in ``place``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import store
+from tidewright.llm.common import join_ids, store
 
 #: Intervals that one probed interval is divided into, by the next bits of the key.
 STEP_BITS = 8
 TOLERANCE = 0.0005
 #: A cut goes through a group of copies where it would miss by more than this share of a shard or range.
 GROUP_SHARE = 0.01
-#: Bytes of text in one range of the exchange, and the most ranges a shard gets.
-RANGE_BYTES, MOST_RANGES = 64 << 20, 512
+#: Bytes of text and rows in one range of the exchange.
+RANGE_BYTES, RANGE_ROWS = 64 << 20, 1 << 20
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -124,47 +127,56 @@ def cuts_of(rows: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list[t
     return _inside(rows, splitters(rows, parts, tolerance), goals, GROUP_SHARE * total / parts) if total else []
 
 
+def _bits(size: Column) -> Column:
+    """Bits by which a cell of so many ranges is dealt out."""
+    return F.when(size > 1, F.ceil(F.log2(size))).otherwise(0).cast("int")
+
+
 def place(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
     """All columns of ``docs`` in struct ``row``, plus size, key, shard and slot.
 
-    Every shard is cut into ranges of RANGE_BYTES at most, unless one row is
-    longer, so the one exchange deals to many tasks and each knows the slots
-    before it.
+    Rows are stored first, each with its number, so that all counts and the one
+    exchange see the same; a shard's slots follow its ranges.
     """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), _key().alias("key"))
-    keyed = keyed.withColumn("sub", F.xxhash64("row"))
-    narrow = store(keyed.select("key", "sub", "size"), "keys")
-    total, n_rows = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    outer = cuts_of(narrow, shards, tolerance)
-    # Half of a range's weight is its bytes, half its rows: of both it has at most twice an even share.
-    per = max(2, 2 * min(MOST_RANGES, -(-total // (shards * RANGE_BYTES))))
-    even = narrow.select("key", "sub", (F.col("size") * n_rows + total).cast("double").alias("size")) if total else narrow
-    marks = {c[:2] for c in outer} | {c[:2] for c in cuts_of(even, shards * per, 0.05)}
-    keys = sorted((min(k, MOST), s) if k <= MOST else (MOST, MOST) for k, s in marks)
-    home = [sum((c[0], c[1]) <= k for c in outer) for k in keys]
-    part = F.lit(0)
-    if keys:
+    rows = store(keyed.withColumn("sub", F.xxhash64(F.monotonically_increasing_id())), "rows")
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    found = [(min(k, MOST), s) if k <= MOST else (MOST, MOST) for k, s, *_ in cuts_of(rows, shards, tolerance)]
+    cuts = sorted(set(found))
+    # Two cuts at one place leave an empty shard between them.
+    home = [sum(c <= k for c in found) for k in cuts]
+    shard = F.lit(0)
+    if cuts:
         # Position among the sorted cuts, as a balanced tree of comparisons.
         def tree(lo: int, hi: int) -> Column:
             if lo == hi:
-                return F.lit(lo)
+                return F.lit(home[lo - 1] if lo else 0)
             mid = (lo + hi) // 2
-            before = (F.col("key") < F.lit(keys[mid][0])) | ((F.col("key") == F.lit(keys[mid][0])) & (F.col("sub") < F.lit(keys[mid][1])))
+            before = (F.col("key") < F.lit(cuts[mid][0])) | ((F.col("key") == F.lit(cuts[mid][0])) & (F.col("sub") < F.lit(cuts[mid][1])))
             return F.when(before, tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-        part = tree(0, len(keys))
-    held = dict(narrow.groupBy(part.alias("part")).count().collect())
-    shard_of = [0, *home]
-    base, before, last = [], 0, 0
-    for i, shard in enumerate(shard_of):
-        before = 0 if shard != last else before
-        base.append(before)
-        before, last = before + held.get(i, 0), shard
-    at = lambda values: F.get(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("part"))
-    ranged = keyed.withColumn("part", part)
-    order = Window.partitionBy("part").orderBy("key", "sub", F.col("row.doc_id"))
-    slot = F.row_number().over(order).cast("long") - 1 + at(base)
-    return ranged.select("row", "size", "key", at(shard_of).cast("int").alias("shard"), slot.alias("slot"))
+        shard = tree(0, len(cuts))
+    bits = max(0, math.ceil(math.log2(max(1, 2 * total / RANGE_BYTES, 2 * n_rows / RANGE_ROWS))))
+    cell = F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("long")
+    placed = rows.select("row", "size", "key", "sub", shard.cast("int").alias("shard"), cell.alias("cell"))
+    narrow = placed.select("size", "sub", "shard", "cell")
+    ranges = F.greatest(F.sum("size") / RANGE_BYTES, F.count("*") / RANGE_ROWS)
+    large = store(narrow.groupBy("shard", "cell").agg(_bits(ranges).alias("more")).filter("more > 0"), "large-cells")
+    n_large = large.count()
+
+    def dealt(table: DataFrame) -> DataFrame:
+        if not n_large:
+            return table.withColumn("part", F.lit(0).cast("long"))
+        marked = join_ids(table, large, n_large, ["shard", "cell"], "left", 24)
+        return marked.withColumn("part", F.when(F.col("more").isNull(), F.lit(0).cast("long")).otherwise(F.expr("shiftright(sub, 64 - more)"))).drop("more")
+
+    counted = dealt(narrow).groupBy("shard", "cell", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = store(counted.select("shard", "cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranges")
+    order = Window.partitionBy("shard", "cell", "part").orderBy("key", "sub")
+    numbered = dealt(placed).withColumn("at", F.row_number().over(order) - 1)
+    found = join_ids(numbered, base, base.count(), ["shard", "cell", "part"], "inner", 32)
+    return found.select("row", "size", "key", "shard", (F.col("base") + F.col("at")).cast("long").alias("slot"))
 
 
 def range_of(key: int, cuts: list[int]) -> int:

@@ -23,11 +23,13 @@ w as (select r, doc_id, stratum, text, regexp_extract_all(text, '{_WORD}') words
 win as (select r, i, array_to_string(words[i:i+7], ' ') g from w, (select unnest(range(1, (select greatest(max(len(words)), 1) from w) + 1)) i) where i + 7 <= len(words)),
 rep as (select r, i from win qualify count(*) over (partition by r, g) > 1),
 cov as (select r, count(distinct p) n from (select r, unnest(range(i, i + 8)) p from rep) group by 1),
-c as (select w.r, doc_id, stratum, len(words)::bigint n_words, length(array_to_string(words, ''))::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(cov.n, 0)::bigint n_repeat_words, len(lines) n_lines from w left join cov on cov.r = w.r),
+c as (select w.r, doc_id, stratum, text, len(words)::bigint n_words, length(array_to_string(words, ''))::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(cov.n, 0)::bigint n_repeat_words, len(lines) n_lines from w left join cov on cov.r = w.r),
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from c),
 l as (select doc_id, min(quality) q from labels where doc_id is not null and quality is not null group by 1),
+h1 as (select f.*, q from f join l using (doc_id) where not base_failed qualify row_number() over (partition by doc_id order by text, stratum) = 1),
+h as (select * from h1 qualify row_number() over (partition by stratum, text order by q) = 1),
 grid(rule, cutoff) as (values {grid}),
-tested as (select stratum, rule, cutoff, count(*) filter (where q = 1) n, count(*) filter (where q = 1 and ({value}) >= cutoff) k, count(*) filter (where q = 0 and ({value}) >= cutoff) bad from f join l using (doc_id), grid where not base_failed group by 1, 2, 3),
+tested as (select stratum, rule, cutoff, count(*) filter (where q = 1) n, count(*) filter (where q = 1 and ({value}) >= cutoff) k, count(*) filter (where q = 0 and ({value}) >= cutoff) bad from h, grid group by 1, 2, 3),
 certified as (select * from tested where bad > k and k < n * {rate} and list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) <= {level!r}),
 chosen as (select stratum, rule, cutoff from certified qualify row_number() over (partition by stratum, rule order by bad - k desc, cutoff desc) = 1),
 rejected as (select distinct r from f join chosen using (stratum) where ({value}) >= cutoff)

@@ -136,17 +136,26 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k >= n * rate, F.lit(1.0)).when(k < 1, F.exp(n * math.log1p(-rate))).otherwise(total)
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
 def certified_cutoffs(counted: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[tuple[str, str], float]:
     """The chosen cutoff per (stratum, rule): at most 25 values, whatever the input.
 
-    ``counted`` needs doc_id, stratum and the counts; ``labels`` doc_id and
-    quality (1 good, 0 bad; the lowest counts if a document has several).
-    Documents that the base test rejects are out before and don't count.
+    ``counted`` needs doc_id, stratum, text_key (a hash of the text) and the counts;
+    ``labels`` doc_id and quality (1 good, 0 bad; the lowest counts if a document
+    has several).  Documents that the base test rejects are out before and don't
+    count.  The bound needs independent trials: a document counts once however often
+    its row is repeated, and so does a text within a stratum, with its lowest label.
     """
     m = (len(STRATA) + 1) * sum(map(len, CUTOFFS.values()))
     rate, level = risk.false_rejection / len(CUTOFFS), risk.delta / m
     truth = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    holdout = counted.filter(~base_failed()).join(truth, "doc_id")
+    labelled = counted.filter(~base_failed()).join(truth, "doc_id")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+    one_each = labelled.groupBy("doc_id").agg(F.min(F.struct("text_key", "stratum", "_quality", *counts)).alias("h")).select("h.*")
+    holdout = one_each.groupBy("stratum", "text_key").agg(F.min(F.struct("_quality", *counts)).alias("h")).select("stratum", "h.*")
     tried = [(r, c) for r, cs in CUTOFFS.items() for c in cs]
     values = rule_values()
     hits = [F.sum(F.when((F.col("_quality") == q) & (values[r] >= c), 1).otherwise(0)).alias(f"k{i}_{q}") for i, (r, c) in enumerate(tried) for q in (0, 1)]
@@ -168,7 +177,7 @@ def method_passes(cutoffs: dict[tuple[str, str], float]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, stratum."""
-    counted = store(text_counts(docs.select("doc_id", "text", stratum().alias("stratum")), "doc_id", "stratum"), "rule-counts")
+    counted = store(text_counts(docs.select("doc_id", "text", stratum().alias("stratum"), text_key()), "doc_id", "stratum", "text_key"), "rule-counts")
     cutoffs = certified_cutoffs(counted, labels, risk)
     failed = base_failed()
     return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & method_passes(cutoffs)).alias("kept"), "stratum")
@@ -182,7 +191,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
     and null ids are judged apart.
     """
     names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text", stratum().alias("stratum"))
-    counted = store(text_counts(held, "_row", "doc_id", "stratum"), "rule-rows")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text", stratum().alias("stratum"), text_key())
+    counted = store(text_counts(held, "_row", "doc_id", "stratum", "text_key"), "rule-rows")
     cutoffs = certified_cutoffs(counted.drop("_row"), labels, risk)
     return counted.filter(~base_failed() & method_passes(cutoffs)).select([F.col("_row").getField(c).alias(c) for c in names])
