@@ -42,8 +42,11 @@ def degree_centrality(nodes: DataFrame, both_ways: DataFrame) -> DataFrame:
     return nodes.join(degree, "node", "left").crossJoin(F.broadcast(others)).select("node", (F.coalesce("degree", F.lit(0)) / F.col("others")).alias("centrality"))
 
 
-def pagerank(nodes: DataFrame, both_ways: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
-    """Weighted PageRank with the mass of isolated nodes spread evenly; stops at ``rounds`` or at the L1 tolerance.
+def pagerank(nodes: DataFrame, both_ways: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None, teleport: DataFrame | None = None) -> DataFrame:
+    """Weighted PageRank; stops at ``rounds`` or at the L1 tolerance.
+
+    The walk restarts, and leaves nodes without edges, evenly or by the positive
+    weights of ``teleport`` (node, weight); none on any node is an error.
 
     Edges are normalised once; each round is one join and one grouping on the
     node, written to the shared folder so that the plan stays short.
@@ -51,14 +54,22 @@ def pagerank(nodes: DataFrame, both_ways: DataFrame, rounds: int = 20, damping:
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
+    if teleport is None:
+        starts = nodes.select("node", F.lit(1.0 / n).alias("start"))
+    else:
+        wanted = nodes.join(teleport.filter("weight > 0").groupBy("node").agg(F.sum("weight").alias("weight")), "node")
+        total = wanted.agg(F.sum("weight")).first()[0]
+        if not total:
+            raise ValueError("no positive weight on any node: the walk has nowhere to restart")
+        starts = nodes.join(wanted, "node", "left").select("node", (F.coalesce("weight", F.lit(0.0)) / total).alias("start"))
     out = both_ways.groupBy("src").agg(F.sum("weight").alias("total"))
     moves = shared_table(both_ways.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "moves")
-    state = shared_table(nodes.join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("total").isNull().alias("sink"), F.lit(1.0 / n).alias("rank")), "ranks")
+    state = shared_table(starts.join(out.withColumnRenamed("src", "node"), "node", "left").select("node", "start", F.col("total").isNull().alias("sink"), F.lit(1.0 / n).alias("rank")), "ranks")
     for _ in range(rounds):
         loose = state.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
         sent = moves.join(state, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
-        stepped = state.join(sent, F.col("node") == F.col("to"), "left").crossJoin(F.broadcast(loose)).select("node", "sink", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
+        new = (1 - damping) * F.col("start") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("start"))
+        stepped = state.join(sent, F.col("node") == F.col("to"), "left").crossJoin(F.broadcast(loose)).select("node", "start", "sink", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
         stepped = shared_table(stepped, "ranks")
         state = stepped.drop("change")
         if tolerance is not None and stepped.agg(F.sum("change").alias("c")).first()["c"] < tolerance:

@@ -24,16 +24,18 @@ def in_order(ids: DataFrame, rows: DataFrame, on: str, position: str) -> DataFra
     return ids.join(rows, on).orderBy(position)
 
 
-def block_pairs(records: DataFrame, id_: str, keys: Column, most: int | None = None) -> DataFrame:
+def block_pairs(records: DataFrame, id_: str, keys: Column, most: int | None = None, broad=None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of records that share a key.
 
-    Blocks of more than ``most`` records are left out, which the caller must
-    want; their number is what :func:`block_sizes` reports.
+    Blocks of more than ``most`` records are left out if ``broad`` (key to Column)
+    says that their key is of a kind that anything fills (all, if it is not given),
+    which the caller must want; :func:`block_sizes` reports their number.
     """
     exploded = records.select(F.col(id_).alias("id"), F.explode(F.array_distinct(keys)).alias("key"))
     if most is not None:
-        small = exploded.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n").between(2, most)).select("key")
-        exploded = exploded.join(small, "key", "left_semi")
+        loose = F.lit(True) if broad is None else broad(F.col("key"))
+        large = exploded.filter(loose).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key")
+        exploded = exploded.join(large, "key", "left_anti")
     left, right = exploded.select(F.col("id").alias("a"), "key"), exploded.select(F.col("id").alias("b"), "key")
     return left.join(right, "key").filter("a < b").select("a", "b").distinct()
 

@@ -37,13 +37,6 @@ def m21_deterministic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", *[name_id(p, F.expr(n)).alias(f"{p}id") for p, n in _IDS.items()])
 
 
-@query("""select 'evt-' || event_id as key, case event_type when 'error' then 'signals.failed' else 'signals.raw' end as topic, 1 as schema_version, 'loader' as producer, epoch_us(ts) as occurred_us, sha256(concat_ws('|', event_id, user_id, event_type, props)) as payload_hash from events""")
-def s22_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed envelopes keyed by signal: topic, version, producer, instant and the payload's hash."""
-    topic = F.when(F.col("event_type") == "error", "signals.failed").otherwise("signals.raw")
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("evt-"), "event_id").alias("key"), topic.alias("topic"), F.lit(1).alias("schema_version"), F.lit("loader").alias("producer"), F.unix_micros(F.col("ts").cast("timestamp")).alias("occurred_us"), F.sha2(F.concat_ws("|", "event_id", "user_id", "event_type", "props"), 256).alias("payload_hash"))
-
-
 _ENVELOPE = """case when event_id % 11 = 0 then '{broken' else '{"schema_version":' || (event_id % 4)::varchar || ',"key":"k' || event_id || '"}' end"""
 
 
@@ -58,21 +51,6 @@ def r03_envelope_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.when(v.between(1, 2), F.col("e.key")).alias("signal_key"), state.alias("state"))
 
 
-@query("""with b as (select l_partkey || '-' || l_linenumber chunk_id, l_orderkey version, l_extendedprice body from lineitem) select chunk_id, max(version) as version, arg_max(body, (version, body)) as body, count(*) - 1 as rejected from b group by 1""")
-def s25_versioned_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bulk writes of chunks by external version: the highest version stays, older ones are counted as rejected."""
-    batch = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_partkey", "l_linenumber").alias("chunk_id"), F.col("l_orderkey").alias("version"), F.col("l_extendedprice").alias("body"))
-    return batch.groupBy("chunk_id").agg(F.max("version").alias("version"), F.max(F.struct("version", "body"))["body"].alias("body"), (F.count("*") - 1).alias("rejected"))
-
-
-@query(f"""select vec_id, {_id_sql('', chr(39) + 'chunk:' + chr(39) + ' || vec_id')} as point_id, len(embedding) = (select max(len(embedding)) from embeddings) as fits, vec_id // 256 as batch from embeddings where embedding is not null""")
-def s27_vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points for the vector index: derived id, dimension check against the collection's, batch of 256."""
-    vectors = table(spark, sf_dir, "embeddings").filter("embedding is not null")
-    dim = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
-    return vectors.select("vec_id", name_id("", F.concat(F.lit("chunk:"), "vec_id")).alias("point_id"), (F.size("embedding") == dim).alias("fits"), F.floor(F.col("vec_id") / 256).alias("batch"))
-
-
 @query("""select n_name as report, '# ' || n_name || chr(10) || chr(10) || string_agg('- ' || s_name || ' (' || s_nationkey || ')', chr(10) order by s_name, s_suppkey) as markdown from nation join supplier on s_nationkey = n_nationkey group by n_name""")
 def s31_markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report per nation in Markdown: title and one line per supplier in order."""
@@ -109,14 +87,6 @@ def t11_rerank_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("again", F.row_number().over(again)).select("q", "d", F.when(head, F.col("again")).otherwise(F.col("rn")).cast("long").alias("pos"))
 
 
-@query("""with e as (select l_suppkey a, l_partkey b, l_orderkey batch, l_quantity q from lineitem), once as (select a, b, batch, max(q) q from e group by 1, 2, 3) select sha256(a || '>' || b)[1:32] as edge_key, count(*) as evidence_count, min(batch) as first_batch, max(batch) as last_batch, max(q)::double as confidence from once group by a, b""")
-def g04_edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by key: evidence adds up over batches, a batch that comes again adds nothing."""
-    edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_orderkey").alias("batch")).agg(F.max("l_quantity").alias("q"))
-    key = F.substring(F.sha2(F.concat_ws(">", "a", "b"), 256), 1, 32)
-    return edges.groupBy("a", "b").agg(F.count("*").alias("evidence_count"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"), F.max("q").cast("double").alias("confidence")).select(key.alias("edge_key"), "evidence_count", "first_batch", "last_batch", "confidence")
-
-
 @query("""with seeds as (select s_suppkey n from supplier where s_suppkey % 20 = 0), e as (select distinct l_suppkey a, l_partkey b from lineitem), parts as (select distinct b from e join seeds on a = n), reach as (select distinct a from e join parts using (b)) select a, b from e where a in (select a from reach) and b in (select b from parts)""")
 def g24_induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges between the nodes within two hops of the seeds, whatever their time."""

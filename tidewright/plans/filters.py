@@ -61,12 +61,6 @@ def f09_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.filter(as_of("o_orderdate", "l_shipdate", F.expr("timestamp_ntz'1996-06-01'"))).select("l_orderkey", "l_linenumber")
 
 
-@query("""select doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F<>`]', '', 'g') as scrubbed from documents""")
-def f11_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F<>`]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", clean.alias("scrubbed"))
-
-
 @query("""with c as (select text, min(doc_id) m from documents group by 1) select d.doc_id from documents d join c on c.text = d.text where d.doc_id = c.m and d.n_chars > 0""")
 def f12_indexable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("n_chars > 0")

@@ -71,13 +71,6 @@ def _print(c: str) -> Column:
     return (F.floor(F.col(c) / 4) * 2654435761 + F.pmod(F.col(c), F.lit(4))).cast("long")
 
 
-@query("""with p as (select page_id, ((page_id // 4) * 2654435761 + page_id % 4)::bigint f from pages) select distinct a.f as u, b.f as v from p a join p b on a.f < b.f and bit_count(xor(a.f, b.f)) <= 3""")
-def j13_banded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints within three bits, found through four bands of sixteen."""
-    prints = table(spark, sf_dir, "pages").select(_print("page_id").alias("print")).distinct()
-    return near_pairs(prints)
-
-
 @query("""with recursive p as (select page_id, ((page_id // 4) * 2654435761 + page_id % 4)::bigint f from pages), l as (select a.page_id a, b.page_id b from p a join p b on a.page_id <> b.page_id and bit_count(xor(a.f, b.f)) <= 3), r(id, root) as (select page_id, page_id from p union select l.b, r.root from r join l on l.a = r.id where r.root < l.b) select id as page_id, min(root) as cluster from r group by 1""")
 def x25_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate clusters over given fingerprints: bands, distance, components, smallest member."""
@@ -217,13 +210,6 @@ def r05_two_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("event_id").union(events.filter("value > 99").select("event_id")).distinct()
 
 
-@query("""select count(*) as good, (select count(*) from events where event_type = 'error') as parked from events where event_type <> 'error'""")
-def r02_park_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that fail go to their own table, the others on; both are counted."""
-    events = table(spark, sf_dir, "events").withColumn("bad", F.col("event_type") == "error")
-    return events.agg(F.sum((~F.col("bad")).cast("long")).alias("good"), F.sum(F.col("bad").cast("long")).alias("parked"))
-
-
 @query()
 def y43_dead_letter_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dead letters keep their original bytes beside the class of the failure."""

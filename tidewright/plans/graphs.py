@@ -116,12 +116,6 @@ def g03_node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_nodes(state(events.filter("ts < timestamp_ntz'2024-01-15'")), state(events.filter("ts >= timestamp_ntz'2024-01-15'")))
 
 
-@query("""select distinct substr(sha256(array_to_string([least(c_nationkey, s_nationkey)::varchar, greatest(c_nationkey, s_nationkey)::varchar, 'trade'], chr(31))), 1, 32) as edge_key, least(c_nationkey, s_nationkey) as a, greatest(c_nationkey, s_nationkey) as b from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey""")
-def g05_edge_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade(spark, sf_dir).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    return edges.select(F.substring(F.sha2(F.concat_ws("\x1f", F.col("a").cast("string"), F.col("b").cast("string"), F.lit("trade")), 256), 1, 32).alias("edge_key"), "a", "b")
-
-
 @query("""select l_partkey, sum(l_quantity) as total, max(l_shipdate) as observed, array_to_string(list_sort(list_distinct(list(l_returnflag))), '') as flags, arg_max(l_suppkey, (l_shipdate, l_orderkey, l_linenumber)) as last_supplier from lineitem group by 1""")
 def g06_row_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max_by("l_suppkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.text import tokens
-from tidewright.operators.joins import best_match, block_pairs, block_sizes, in_order, with_counts
+from tidewright.operators.joins import best_match, block_sizes, in_order, with_counts
 from tidewright.operators.spans import quote_hits
 from tidewright.plans.registry import query, table
 
@@ -98,13 +97,6 @@ def j12_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(reps.join(good, "rep", "left_semi"), "h").select("doc_id", "rep")
 
 
-@query("""with k as (select distinct s_suppkey id, unnest([s_nationkey::varchar || ':' || right(s_name, 1), 'b:' || floor(s_acctbal / 250)::bigint::varchar]) k from supplier), n as (select k from k group by 1 having count(*) between 2 and 200)
-select distinct a.id as a, b.id as b from k a join k b on a.k = b.k and a.id < b.id where a.k in (select k from n)""")
-def j14_blocking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = F.array(F.concat(F.col("s_nationkey").cast("string"), F.lit(":"), F.right("s_name", F.lit(1))), F.concat(F.lit("b:"), F.floor(F.col("s_acctbal") / 250).cast("string")))
-    return block_pairs(table(spark, sf_dir, "supplier"), "s_suppkey", keys, most=200)
-
-
 @query("""with k as (select distinct s_suppkey id, unnest([s_nationkey::varchar || ':' || right(s_name, 1), 'b:' || floor(s_acctbal / 250)::bigint::varchar]) k from supplier) select count(*) as blocks, sum(n)::bigint as memberships, max(n) as largest, sum(n * (n - 1) // 2)::bigint as comparisons from (select k, count(*) n from k group by 1)""")
 def k17_blocking_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.array(F.concat(F.col("s_nationkey").cast("string"), F.lit(":"), F.right("s_name", F.lit(1))), F.concat(F.lit("b:"), F.floor(F.col("s_acctbal") / 250).cast("string")))

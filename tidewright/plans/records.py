@@ -65,9 +65,3 @@ def r09_batch_equals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.streaming.dedup import drained_totals
 
     return drained_totals(spark, f"{sf_dir}/events.parquet").select("event_type", "n", F.round("total", 4).alias("total"), "first_event")
-
-
-@query("""select event_type, max(ts) as watermark, max(ts) - interval 10 minute as read_from from events group by 1""")
-def r06_source_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("watermark"))
-    return marks.select("event_type", "watermark", (F.col("watermark") - F.expr("interval 10 minutes")).alias("read_from"))

@@ -30,5 +30,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    for module in ("filters", "joins", "aggregates", "ranking", "paging", "graphs", "texts", "scalars", "resolution", "search", "records", "further", "signatures", "markup", "exchange", "evidence", "structures", "entities", "streams", "walks", "trees"):
+    for module in ("filters", "joins", "aggregates", "ranking", "paging", "graphs", "texts", "scalars", "resolution", "search", "records", "further", "signatures", "markup", "exchange", "evidence", "structures", "entities", "streams", "walks", "trees", "writes"):
         import_module(f"tidewright.plans.{module}")

@@ -9,7 +9,6 @@ from tidewright.functions import entities as E
 from tidewright.functions.records import json_depth
 from tidewright.operators import context
 from tidewright.operators.chunking import chunk_documents
-from tidewright.operators.graph import shared_table
 from tidewright.operators.ranking import top_per_group
 from tidewright.plans.exchange import _id_sql, name_id
 from tidewright.plans.registry import query, table

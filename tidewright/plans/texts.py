@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.operators.dedup import cluster_documents
-from tidewright.operators.graph import shared_table
 from tidewright.operators.spans import quote_hits, resolve_mentions
 from tidewright.plans.registry import query, table
 
