@@ -33,7 +33,7 @@ def walk(seeds, edges, hops, fanout, most):
             for d, g in given.items():
                 first.setdefault(d, hop)
                 score[d] = score.get(d, 0) + g
-        for n in sorted(score, key=lambda n: (-score[n], n))[:most]:
+        for n in sorted(score, key=lambda n: (-round(score[n], 9), n))[:most]:
             out[q, n] = (first[n], round(score[n], 9))
     return out
 

@@ -41,7 +41,8 @@ def path_scores(seeds: DataFrame, edges: DataFrame, hops: int, fanout: int = FAN
         state = shared_table(merged, "reached")
         if state.filter(F.col("hop") == hop).isEmpty():
             break
-    return top_per_group(state, ["query_id"], [F.desc("score"), F.col("node")], most).drop("rn")
+    # Sums that differ in their last digits alone are equal.
+    return top_per_group(state, ["query_id"], [F.desc(F.round("score", 9)), F.col("node")], most).drop("rn")
 
 
 def signals_around(reached: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
-from tidewright.operators.dedup import near_pairs, spread_minimum
+from tidewright.operators.dedup import simhash_clusters
 from tidewright.operators.filters import Filters, compile_filters
 from tidewright.operators.graph import conductance, project, shared_table
 from tidewright.operators.joins import best_match
@@ -66,20 +66,11 @@ def j11_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(hops, ["src"], [F.desc("weight"), F.col("dst")], 5).select(F.col("src").alias("parent"), F.col("dst").alias("node"), "rn")
 
 
-def _print(c: str) -> Column:
-    """A stand-in 64-bit fingerprint that differs in few bits for neighbouring ids."""
-    return (F.floor(F.col(c) / 4) * 2654435761 + F.pmod(F.col(c), F.lit(4))).cast("long")
-
-
-@query("""with recursive p as (select page_id, ((page_id // 4) * 2654435761 + page_id % 4)::bigint f from pages), l as (select a.page_id a, b.page_id b from p a join p b on a.page_id <> b.page_id and bit_count(xor(a.f, b.f)) <= 3), r(id, root) as (select page_id, page_id from p union select l.b, r.root from r join l on l.a = r.id where r.root < l.b) select id as page_id, min(root) as cluster from r group by 1""")
+@query()
 def x25_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate clusters over given fingerprints: bands, distance, components, smallest member."""
-    pages = table(spark, sf_dir, "pages").select("page_id", _print("page_id").alias("print"))
-    prints = pages.select(F.col("print").alias("node")).distinct()
-    labels = spread_minimum(prints, near_pairs(prints.withColumnRenamed("node", "print")))
-    placed = shared_table(pages.join(labels, F.col("print") == F.col("node")).select("page_id", "label"), "placed")
-    first = placed.groupBy("label").agg(F.min("page_id").alias("cluster"))
-    return placed.join(first, "label").select("page_id", "cluster")
+    """Turns of conversations whose fingerprints are linked within three bits, by the smallest of each cluster."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text")
+    return simhash_clusters(turns)
 
 
 @query("""select doc_id, source from documents where source in ('src4', 'src5') order by n_chars desc, doc_id limit 40""")

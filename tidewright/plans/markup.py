@@ -88,7 +88,7 @@ def x09_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.redacted(F.col("text")).alias("redacted"))
 
 
-@query("""with u as (select doc_id, 'Ｓee HTTPS://Ex.COM/A?utm_source=x&b=2&fbclid=1#top ' || text || case doc_id % 3 when 0 then ' ... Read more' when 1 then ' [Continue reading] see more.' else '' end as t from documents) select doc_id, trim(regexp_replace('see https://ex.com/a?b=2 ' || lower(d.text), '\s+', ' ', 'g')) as canonical from documents d""")
+@query(r"""select doc_id, trim(regexp_replace('see https://ex.com/a?b=2 ' || lower(text), '\s+', ' ', 'g')) as canonical from documents""")
 def x13_canonical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents behind a tracked address and before the tails of feeds, in the form that is hashed."""
     tail = F.when(F.col("doc_id") % 3 == 0, " ... Read more").when(F.col("doc_id") % 3 == 1, " [Continue reading] see more.").otherwise("")

@@ -126,6 +126,7 @@ def x38_dominant_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", dominant_script(F.col("text")).alias("script"))
 
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
 _SPANS = "(d.doc_id + b.item_id) % 4"
 
 
@@ -135,7 +136,7 @@ def x39_locate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     k = F.expr("(doc_id + item_id) % 4")
-    surface = F.when(k == 2, F.upper("quote")).when(k == 3, F.replace("quote", F.lit(" "), F.lit("  "))).otherwise(F.col("quote"))
+    surface = F.when(k == 2, F.translate("quote", _SMALL, _SMALL.upper())).when(k == 3, F.replace("quote", F.lit(" "), F.lit("  "))).otherwise(F.col("quote"))
     start = F.when(k == 0, F.col("position") - 1).when(k == 1, F.col("position") + 6).cast("int")
     told = quote_hits(docs, ["doc_id"], items).join(items, "item_id").select("doc_id", F.col("item_id").alias("ord"), surface.alias("surface"), start.alias("start"), F.when(k < 2, start + F.length("quote")).cast("int").alias("end"))
     numbered = told.withColumn("reported", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).select("doc_id", "reported", F.col("ord").alias("item_id"))
