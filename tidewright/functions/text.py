@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,9 +61,19 @@ def plain_address(url: Column) -> Column:
     return F.concat(start, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def mapped(text: Column, f: Callable[[str], str]) -> Column:
+    """A function of the standard library that Spark lacks, over a column of strings by Arrow batches; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else f(x))
+
+    return run(text)
+
+
 def compatible(text: Column) -> Column:
-    """NFKC.  Spark has no such function."""
-    return F.pandas_udf(lambda t: t.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)), "string", F.PandasUDFType.SCALAR)(text)
+    """NFKC."""
+    return mapped(text, lambda x: unicodedata.normalize("NFKC", x))
 
 
 def canonical_text(text: Column) -> Column:
