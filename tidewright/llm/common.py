@@ -30,11 +30,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder of the cluster; a temporary one only on one machine, as in tests; an error on a cluster without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and spark.sparkContext.master.startswith("local"):
         found = tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
