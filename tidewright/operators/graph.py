@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under the folder that the cluster shares.  Without one there is no table that all executors see: an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.startswith("local["):
+    if not base and spark.sparkContext.master.startswith("local"):
         # One machine, as in tests: its own folder is shared by all.
         base = tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", base)
