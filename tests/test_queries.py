@@ -73,3 +73,37 @@ def test_filters_reach_the_scan(spark):
     pushed, schema = plan.split("PushedFilters:")[1].split("ReadSchema:")[:2]
     assert "In(source" in pushed and "GreaterThanOrEqual(n_chars" in pushed
     assert "text" not in schema
+
+
+def least_peak(spark, query, folder):
+    """Rows that the largest join of a query makes, by its plan's counters."""
+    df = entry.queries()[query](spark, folder)
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            todo.append(plan.executedPlan())
+            continue
+        if "QueryStage" in plan.nodeName():
+            todo.append(plan.plan())
+        counted = plan.metrics().get("numOutputRows")
+        if "Join" in plan.nodeName() and counted.isDefined():
+            most = max(most, counted.get().value())
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return most
+
+
+def test_suggestions_meet_one_customer_of_a_handle(spark, tmp_path):
+    spark.range(50).selectExpr("id s_suppkey", "cast(id % 3 as int) s_nationkey", "'s-007' s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(400).selectExpr("399 - id c_custkey", "cast(id % 2 as int) c_nationkey", "'c-007' c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = entry.queries()["j05_best_suggestion"](spark, str(tmp_path)).collect()
+    assert {r["s_suppkey"]: (r["c_custkey"], r["confidence"]) for r in rows} == {s: ({0: 1, 1: 0, 2: 0}[s % 3], 0.6 if s % 3 == 2 else 0.9) for s in range(50)}
+    assert least_peak(spark, "j05_best_suggestion", str(tmp_path)) <= 400
+
+
+def test_terms_meet_once_a_word(spark, tmp_path):
+    spark.range(300).selectExpr("id p_partkey", "concat('red item', id) p_name", "if(id % 2 = 0, 'RED', 'BLUE') p_type").write.parquet(f"{tmp_path}/part.parquet")
+    rows = entry.queries()["j06_feature_terms"](spark, str(tmp_path)).collect()
+    assert {r["p_partkey"]: (r["term"], r["method"]) for r in rows} == {i: ("red item0", i % 2) for i in range(300)}
+    assert least_peak(spark, "j06_feature_terms", str(tmp_path)) <= 600

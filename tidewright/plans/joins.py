@@ -39,10 +39,11 @@ def j04_identity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 select s_suppkey, c_custkey, conf::double as confidence from (select *, row_number() over (partition by s_suppkey order by conf desc, c_custkey) rn from c) where rn = 1""")
 def j05_best_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda c: F.right(c, F.lit(3))
-    unlinked = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", key("s_name").alias("handle"))
-    linked = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", key("c_name").alias("handle"))
-    scored = unlinked.join(linked, "handle").withColumn("confidence", F.when(F.col("s_nationkey") == F.col("c_nationkey"), 0.9).otherwise(0.6))
-    return best_match(scored, "s_suppkey", F.desc("confidence"), F.col("c_custkey")).select("s_suppkey", "c_custkey", "confidence")
+    unlinked = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), key("s_name").alias("handle"))
+    # The first customer of a handle and nation, and of a handle: nobody else of these can be the best.
+    first = table(spark, sf_dir, "customer").groupBy(key("c_name").alias("handle"), F.col("c_nationkey").alias("nation")).agg(F.min("c_custkey").alias("near"))
+    known = unlinked.join(first, ["handle", "nation"], "left").join(first.groupBy("handle").agg(F.min("near").alias("any")), "handle")
+    return known.select("s_suppkey", F.coalesce("near", "any").alias("c_custkey"), F.when(F.col("near").isNotNull(), 0.9).otherwise(0.6).alias("confidence"))
 
 
 @query("""with t as (select distinct p_name term from part), m as (select p.p_partkey, t.term, case when p.p_type = upper(split_part(t.term, ' ', 1)) then 0 when contains(p.p_name, split_part(t.term, ' ', 1)) then 1 when contains(p.p_name, split_part(t.term, ' ', 2)) then 2 end method from part p, t)
@@ -51,12 +52,15 @@ def j06_feature_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     word = lambda i: F.split("term", " ")[i]
     names = part.select(F.col("p_name").alias("term")).distinct().withColumn("first", word(0)).withColumn("second", word(1))
+    # The first term of each word is the only one of it that can be the best.
+    of = lambda key: names.groupBy(key.alias("key")).agg(F.min("term").alias("term"))
     # Substring rules over whole words are equalities on the words of a name.
-    own = part.select("p_partkey", F.upper("p_type").alias("type"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
-    by_type = part.join(names, F.col("p_type") == F.upper("first")).select("p_partkey", "term", F.lit(0).alias("method"))
-    by_first = own.join(names, F.col("word") == F.col("first")).select("p_partkey", "term", F.lit(1).alias("method"))
-    by_second = own.join(names, F.col("word") == F.col("second")).select("p_partkey", "term", F.lit(2).alias("method"))
-    return best_match(by_type.union(by_first).union(by_second), "p_partkey", F.col("method"), F.col("term"))
+    own = part.select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
+    by_type = part.join(of(F.upper("first")), F.col("p_type") == F.col("key")).select("p_partkey", "term", F.lit(0).alias("method"))
+    by_first = own.join(of(F.col("first")), F.col("word") == F.col("key")).select("p_partkey", "term", F.lit(1).alias("method"))
+    by_second = own.join(of(F.col("second")), F.col("word") == F.col("key")).select("p_partkey", "term", F.lit(2).alias("method"))
+    best = F.min(F.struct("method", "term"))
+    return by_type.union(by_first).union(by_second).groupBy("p_partkey").agg(best.alias("b")).select("p_partkey", "b.term", "b.method")
 
 
 @query("""select o_orderkey, o_orderpriority from orders where o_orderstatus = 'O' and o_orderdate < timestamp '1998-01-01' and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')""")
