@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from tidewright.operators.filters import Filters, compile_filters, keyset_after
 from tidewright.operators.graph import conductance, modularity, neighbourhood, pagerank, project
 from tidewright.operators.joins import block_pairs, overlap_join
 from tidewright.operators.merge import upsert_guarded, upsert_last, upsert_nodes
-from tidewright.operators.ranking import reciprocal_rank_fusion, retrieval_metrics
+from tidewright.operators.ranking import counted_metrics, reciprocal_rank_fusion, retrieval_metrics
 from tidewright.operators.temporal import merge_intervals
 from tidewright.sources.archive import compression_of, read_archive, write_archive
 
@@ -100,3 +101,12 @@ def test_archive(spark, tmp_path):
     rows = spark.createDataFrame([("web", "1", bytearray(b"\x1f\x8b\x00")), ("web", "2", bytearray(b"plain"))], "platform string, item string, raw binary")
     kept = read_archive(spark, write_archive(rows, str(tmp_path / "archive"))).withColumn("codec", compression_of(F.col("raw")))
     assert sorted((r["item"], r["intact"], r["codec"]) for r in kept.collect()) == [("1", True, "gzip"), ("2", True, "none")]
+
+
+def test_metrics_need_counts_alone_of_what_is_not_returned(spark):
+    returned = spark.createDataFrame([("q", 1, 3), ("q", 2, 0), ("q", 3, 1)], "query_id string, rank int, grade int")
+    grades = spark.createDataFrame([("q", 0, 10**12), ("q", 1, 1), ("q", 2, 1), ("q", 3, 1), ("none", 0, 5)], "query_id string, grade int, n long")
+    out = {(r["query_id"], r["k"]): r for r in counted_metrics(returned, grades, [1, 3]).collect()}
+    assert out["q", 3]["recall"] == pytest.approx(2 / 3) and out["q", 3]["average_precision"] == pytest.approx((1 + 2 / 3) / 3)
+    assert out["q", 3]["ndcg"] == pytest.approx((7 + 1 / 2) / (7 + 3 / np.log2(3) + 1 / 2))
+    assert (out["none", 1]["recall"], out["none", 1]["ndcg"], out["none", 1]["precision"]) == (1.0, 1.0, 0.0)

@@ -10,7 +10,7 @@ from tidewright.operators.dedup import simhash_clusters
 from tidewright.operators.filters import Filters, compile_filters
 from tidewright.operators.graph import conductance, project, shared_table
 from tidewright.operators.joins import best_match
-from tidewright.operators.ranking import retrieval_metrics, top_per_group
+from tidewright.operators.ranking import counted_metrics, top_per_group
 from tidewright.operators.search import cosine
 from tidewright.plans.aggregates import dead_letters
 from tidewright.plans.graphs import TRADE, trade
@@ -20,7 +20,7 @@ from tidewright.plans.registry import query, table
 
 
 def metric(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return retrieval_metrics(judged(spark, sf_dir), [10]).select("query_id", F.round(name, 6).alias(name))
+    return counted_metrics(*judged(spark, sf_dir), [10]).select("query_id", F.round(name, 6).alias(name))
 
 
 @query(f"with {JUDGED} select query_id, round(found / k, 6) as precision from m where k = 10")
@@ -45,7 +45,7 @@ def w14_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {JUDGED} select round(avg(coalesce(1.0 / first, 0)), 6) as mrr from m where k = 10")
 def w15_mean_reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval_metrics(judged(spark, sf_dir), [10]).agg(F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
+    return counted_metrics(*judged(spark, sf_dir), [10]).agg(F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
 
 
 @query(f"with {JUDGED} select query_id, round(case when total > 0 then ap / total else 0 end, 6) as average_precision from m where k = 10")
