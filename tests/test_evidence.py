@@ -74,3 +74,18 @@ def test_pack_gives_facts_their_share(spark):
     facts = spark.createDataFrame([(1, 1, 0.5, False, 10), (1, 2, 0.5, True, 10), (2, 9, 0.1, True, 15)], "query_id long, id long, score double, current boolean, cost long")
     got = {(r["query_id"], r["kind"], r["id"]) for r in context.pack_evidence(passages, facts, 100).collect()}
     assert got == {(1, "fact", 2), (1, "passage", 1), (1, "passage", 3), (2, "fact", 9)}
+
+
+def test_budgets_filled_on_arrays_are_those_of_the_walk(spark):
+    rng = random.Random(5)
+    rows = [(q, i, rng.choice([1, 2, 3, None]), rng.choice([None, 0.0, 0.3, 0.5, 0.9]), rng.randint(0, 9)) for q in range(60) for i in range(rng.randrange(1, 14))]
+    frame = spark.createDataFrame(rows, "query_id long, id long, signal long, score double, cost long")
+    for breadth in (True, False):
+        got, want = {(r["query_id"], r["id"]) for r in context.fill_rows(frame, 20, breadth).collect()}, set()
+        for q in range(60):
+            own = sorted((r for r in rows if r[0] == q), key=lambda r: (r[3] is None, -(r[3] or 0), r[1]))
+            kept, _ = context.fill([r[4] for r in own], 20, [object() if r[2] is None else r[2] for r in own] if breadth else None)
+            want |= {(q, own[i][1]) for i in kept}
+        assert got == want
+    plan = context.fill_rows(frame, 20, True)._jdf.queryExecution().toString()
+    assert "Pandas" not in plan
