@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.joins import best_match, block_sizes, in_order, with_counts
+from tidewright.operators.joins import block_sizes, in_order, with_counts
 from tidewright.operators.spans import quote_hits
 from tidewright.plans.registry import query, table
 
