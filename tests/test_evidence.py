@@ -56,6 +56,17 @@ def test_phrases_and_keywords(spark):
     assert {r["term"]: r["weight"] for r in phrases.keywords(found, named).collect()}["Datadog"] == round(1.5 / 9, 4)
 
 
+def test_scored_phrases_give_the_same_keywords_and_travel_once(spark):
+    rng = random.Random(8)
+    words = ["Cloud", "cloud", "the", "x", "Été", "data-lake", "plan", "42", "PLAN", "renewal"]
+    texts = [(i, "".join(rng.choice(words) + rng.choice([" ", " ", ", ", "\n"]) for _ in range(rng.randrange(0, 120)))) for i in range(30)] + [(30, None), (31, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    want = sorted(map(tuple, phrases.keywords(phrases.candidate_phrases(docs, ["the"])).collect()))
+    mine = phrases.keywords(phrases.scored_phrases(docs, ["the"]))
+    assert len(want) > 100 and sorted(map(tuple, mine.collect())) == want
+    assert mine._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_collapse_keeps_the_first(spark):
     rows = [(1, 10, 1, 0b1111), (1, 11, 2, 0b1110), (1, 12, 3, None), (1, 13, 4, 0b11110000), (1, 14, 5, -1), (2, 11, 1, 0b1110)]
     pool = spark.createDataFrame(rows, "query_id long, chunk_id long, rank long, print long")
