@@ -46,6 +46,13 @@ def test_trees_of_any_depth_match_recursion(spark):
     assert got == {**{i: plain(b) for i, b in enumerate(bodies)}, 900: ""}
 
 
+def test_trees_stay_a_row_each_and_equal_ids_apart(spark):
+    trees = [json.dumps({"type": "doc", "content": [{"type": "paragraph", "content": [{"type": "text", "text": t}]}, None, {"type": 7}, {"text": "no type"}]}) for t in "ab"]
+    made = flatten_trees(spark.createDataFrame([(1, trees[0]), (1, trees[1]), (2, '"x"'), (3, "7.5"), (4, "null")], "k long, body string"), "k", "body")
+    assert sorted(map(tuple, made.collect())) == [(1, "a\n"), (1, "b\n"), (2, "x"), (3, ""), (4, "")]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_block_lists(spark):
     run = lambda *t: {"rich_text": [{"plain_text": x} for x in t]}
     blocks = [{"type": "paragraph", "paragraph": run("a", "b")}, {"type": "bulleted_list_item", "bulleted_list_item": run("x")}, {"type": "numbered_list_item", "numbered_list_item": run("y")}, {"type": "code", "code": run("k = 1")}, {"type": "heading_1", "heading_1": run("H")}, {"type": "paragraph", "paragraph": run()}, {"type": "divider", "divider": {}}, {"type": "image"}, {}]

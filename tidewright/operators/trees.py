@@ -9,44 +9,49 @@ from tidewright.operators.graph import shared_table
 
 # Nodes of a tree that end a line.
 BLOCKS = ("paragraph", "heading", "listItem", "blockquote", "codeBlock", "panel")
-#: Levels that one stored step takes.
-STEP = 4
-_LAST = (1 << 31) - 1
+#: Levels that one stored step takes; a node and the list of its content are one.
+STEP = 5
 
 
 def flatten_trees(payloads: DataFrame, id_: str, body: str) -> DataFrame:
     """``id_`` and text of JSON document trees: text nodes in order, a line end for hard breaks and behind blocks.
 
-    Nodes are laid open level by level, each with the path it is reached by; the
-    pieces of a document are put in order by their paths at the end.  Null,
-    broken or empty trees give an empty text; strings stand for themselves,
-    numbers and nodes of unknown kinds for their content alone.
+    A document stays one row: its list of pieces and open nodes, in order, in which
+    every open node gives way to its piece or its children, level by level.  Nothing
+    is shuffled.  Null, broken or empty trees give an empty text; strings stand for
+    themselves, numbers and nodes of unknown kinds for their content alone.
     """
-    path = F.array().cast("array<int>")
-    level = payloads.select(F.col(id_).alias("id"), path.alias("path"), F.try_parse_json(F.col(body)).alias("node")).filter("node is not null")
-    pieces, depth = None, 0
+    none = F.array().cast("array<struct<piece:string,node:variant>>")
+    item = lambda piece, node: F.struct(piece.cast("string").alias("piece"), node.cast("variant").alias("node"))
+    nothing = F.lit(None)
+
+    def grown(x: Column) -> Column:
+        node = x["node"]
+        value = lambda p: F.try_variant_get(node, p, "string")
+        listed, type_, content = F.try_variant_get(node, "$", "array<variant>"), value("$.type"), F.try_variant_get(node, "$.content", "variant")
+        # The kind of a whole subtree is dear, so only what has no parts is asked for it.
+        bare = listed.isNull() & type_.isNull() & content.isNull() & (F.schema_of_variant(node) == "STRING")
+        own = F.when(type_ == "text", F.coalesce(value("$.text"), F.lit(""))).when(type_ == "hardBreak", "\n").when(bare, value("$"))
+        inner = F.coalesce(listed, F.try_variant_get(node, "$.content", "array<variant>"), F.array(content))
+        children = F.transform(F.filter(inner, lambda c: c.isNotNull()), lambda c: item(nothing, c))
+        ends = F.when(type_.isin(*BLOCKS), F.array(item(F.lit("\n"), nothing))).otherwise(none)
+        return F.when(node.isNull(), F.array(x)).when(own.isNotNull(), F.array(item(own, nothing))).otherwise(F.concat(children, ends))
+
+    tree = F.try_parse_json(F.col(body))
+    level = payloads.select(F.col(id_).alias("id"), F.when(tree.isNotNull(), F.array(item(nothing, tree))).otherwise(none).alias("items"))
+    texts = None
     while True:
-        kind = F.schema_of_variant("node")
-        value = lambda p: F.try_variant_get("node", p, "string")
-        type_ = F.when(kind.startswith("OBJECT"), value("$.type"))
-        own = F.when(kind == "STRING", value("$")).when(type_ == "text", F.coalesce(value("$.text"), F.lit(""))).when(type_ == "hardBreak", "\n")
-        said = level.select("id", "path", own.alias("piece")).filter("piece is not null")
-        ends = level.filter(type_.isin(*BLOCKS)).select("id", F.array_append("path", F.lit(_LAST)).alias("path"), F.lit("\n").alias("piece"))
-        both = said.unionByName(ends)
-        pieces = both if pieces is None else pieces.unionByName(both)
-        inner = F.when(kind.startswith("ARRAY"), F.try_variant_get("node", "$", "array<variant>")).when(kind.startswith("OBJECT") & ~F.coalesce(type_, F.lit("")).isin("text", "hardBreak"), F.array(F.try_variant_get("node", "$.content", "variant")))
-        level = level.select("id", "path", F.posexplode(inner).alias("at", "child")).filter("child is not null").select("id", F.array_append("path", F.col("at")).alias("path"), F.col("child").alias("node"))
-        depth += 1
-        if depth % STEP == 0:
-            # Variants are stored as JSON, so that any reader can take the level up again.
-            stored = shared_table(level.select("id", "path", F.to_json("node").alias("json")), "tree-level")
-            pieces = shared_table(pieces, "tree-pieces")
-            if stored.isEmpty():
-                break
-            level = stored.select("id", "path", F.parse_json("json").alias("node"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "piece"))), lambda x: x["piece"]), "")
-    joined = pieces.groupBy("id").agg(text.alias("text"))
-    return payloads.select(F.col(id_).alias("id")).join(joined, "id", "left").select(F.col("id").alias(id_), F.coalesce("text", F.lit("")).alias("text"))
+        for _ in range(STEP):
+            level = level.select("id", F.flatten(F.transform("items", grown)).alias("items"))
+        # Variants are stored as JSON, so that any reader can take the level up again.
+        stored = shared_table(level.select("id", F.transform("items", lambda x: F.struct(x["piece"].alias("piece"), F.to_json(x["node"]).alias("json"))).alias("items")), "tree-level")
+        unfinished = F.exists("items", lambda x: x["json"].isNotNull())
+        done = stored.filter(~unfinished).select(F.col("id").alias(id_), F.array_join(F.transform("items", lambda x: x["piece"]), "").alias("text"))
+        texts = done if texts is None else texts.unionByName(done)
+        rest = stored.filter(unfinished)
+        if rest.isEmpty():
+            return texts
+        level = rest.select("id", F.transform("items", lambda x: item(x["piece"], F.parse_json(x["json"]))).alias("items"))
 
 
 def flatten_blocks(blocks: Column) -> Column:
