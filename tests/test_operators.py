@@ -110,3 +110,28 @@ def test_metrics_need_counts_alone_of_what_is_not_returned(spark):
     assert out["q", 3]["recall"] == pytest.approx(2 / 3) and out["q", 3]["average_precision"] == pytest.approx((1 + 2 / 3) / 3)
     assert out["q", 3]["ndcg"] == pytest.approx((7 + 1 / 2) / (7 + 3 / np.log2(3) + 1 / 2))
     assert (out["none", 1]["recall"], out["none", 1]["ndcg"], out["none", 1]["precision"]) == (1.0, 1.0, 0.0)
+
+
+def test_components_of_any_shape_and_pairs_that_vanish(spark, monkeypatch):
+    import random
+
+    from tidewright.operators import dedup, graph
+
+    rng = random.Random(6)
+    stored = []
+    monkeypatch.setattr(dedup, "shared_table", lambda df, name: (made := graph.shared_table(df, name), stored.append((name, made.count())))[0])
+    line, star = [(i, i + 1) for i in range(100, 160)], [(900, i) for i in range(200, 240)]
+    zigzag = [(400 + (i * 37) % 61, 400 + ((i + 1) * 37) % 61) for i in range(60)]
+    loose = [(rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(70)]
+    pairs = line + star + zigzag + loose + [(5, 5), (7, 6), (6, 7), (7, 6)]
+    parent = {i: i for i in range(1000)}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    nodes = spark.range(1000).withColumnRenamed("id", "node")
+    got = dict(map(tuple, dedup.spread_minimum(nodes, spark.createDataFrame(pairs, "u long, v long")).collect()))
+    assert got == {i: root(i) for i in range(1000)}
+    edges = [n for name, n in stored if name == "pairs"]
+    assert edges[0] <= len(pairs) and edges[1] < edges[0] / 2 and edges[-1] == 0
+    assert dict(map(tuple, dedup.spread_minimum(nodes.limit(3), spark.createDataFrame([], "u long, v long")).collect())) == {0: 0, 1: 1, 2: 2}
