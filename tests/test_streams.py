@@ -43,6 +43,40 @@ def test_sightings_expire_after_seven_days(spark, tmp_path):
     assert out.select("batch").distinct().count() > 1
 
 
+def test_seen_set_walks_keys_without_python_and_goes_on_after_a_break(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    minutes = sorted(rng.randrange(60 * 24 * 40) for _ in range(400))
+    rows = [(f"k{rng.randrange(6)}" if rng.random() < 0.9 else None, i, T0 + dt.timedelta(minutes=m)) for i, m in enumerate(minutes)]
+    rows += [("edge", 1000, T0), ("edge", 1001, T0 + dt.timedelta(days=7) - dt.timedelta(microseconds=1)), ("edge", 1003, T0 + dt.timedelta(days=7)), ("edge", 1002, T0 + dt.timedelta(days=7)), ("edge", 1004, T0 + dt.timedelta(days=13)), ("edge", 1005, T0 + dt.timedelta(days=14))]
+    rows.sort(key=lambda r: (r[2], r[1]))
+    want, until = set(), {}
+    for k, i, t in rows:
+        if k not in until or t >= until[k]:
+            want.add((k, i, t))
+            until[k] = t + dt.timedelta(days=7)
+    schema = "key string, event_id long, ts timestamp"
+    folder = files(spark, str(tmp_path / "in"), [rows[i : i + 90] for i in range(0, len(rows), 90)], schema)
+    given = spark.createDataFrame(rows[:1], schema).schema
+    start = lambda: S.file_stream(spark, folder, given, per_batch=1)
+    # A batch that fails once between its sightings and its state is walked again to the same rows.
+    base, whole, broken = str(tmp_path / "run"), F.broadcast, {"left": 3}
+
+    def breaks(df):
+        broken["left"] -= 1
+        if not broken["left"]:
+            raise RuntimeError("lost before the state")
+        return whole(df)
+
+    monkeypatch.setattr(F, "broadcast", breaks)
+    with pytest.raises(Exception, match="lost before the state"):
+        S.seen_set(start(), "key", base)
+    found = S.seen_set(start(), "key", base)
+    assert sorted(map(str, map(tuple, found.select("key", "event_id", "ts").collect()))) == sorted(map(str, want))
+    assert found.select("batch").distinct().count() > 3
+    once = S.seen_set(S.file_stream(spark, folder, given), "key", str(tmp_path / "once"))
+    assert {r["event_id"] for r in once.collect()} == {i for _, i, _ in want} and once.select("batch").distinct().count() == 1
+
+
 def test_a_broken_run_goes_on_and_equals_an_undisturbed_one(spark, tmp_path):
     schema = "id long, word string"
     batches = [[(10 * b + i, f"w{(b + i) % 4}") for i in range(8)] for b in range(4)]

@@ -17,9 +17,7 @@ def r04_seen_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose user and type are new or were forgotten after seven days, kept as state with an expiry."""
     events = S.file_stream(spark, f"{sf_dir}/events.parquet").filter("user_id is not null and event_type is not null")
     keyed = events.select(F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    base = S.place(spark, "seen-set")
-    found = S.drain(S.first_sightings_with_expiry(keyed, "key"), {"fresh": lambda rows: rows}, base)["fresh"]
-    return found.select("key", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return S.seen_set(keyed, "key", S.place(spark, "seen-set")).select("key", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 def posting_rows(batch: DataFrame) -> DataFrame:

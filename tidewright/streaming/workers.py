@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -86,6 +86,54 @@ def first_sightings_with_expiry(stream: DataFrame, key: str, days: float = SEEN_
     return marked.groupBy(key).applyInPandasWithState(fresh, schema, "until timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def seen_set(stream: DataFrame, key: str, base: str, days: float = SEEN_DAYS) -> DataFrame:
+    """The sightings of :func:`first_sightings_with_expiry` of a whole stream (key, event_id, ts), drained into a table with the column batch.
+
+    A micro-batch is walked key by key on the JVM, by time and id, from the instants
+    that the one before left; so one that is tried again finds what it found.  An
+    instant is kept until the newest event has passed it; rows older than the newest
+    event of earlier micro-batches are late and left out.
+    """
+    spark = stream.sparkSession
+    span = F.lit(round(days * 86_400_000_000))
+    row = F.struct("ts", "event_id")
+    rows = stream.select(key, "event_id", "ts")
+    kinds = dict(rows.dtypes)
+    kept = f"struct<until:bigint,found:array<struct<ts:{kinds['ts']},event_id:{kinds['event_id']}>>>"
+
+    def walk(acc: Column, x: Column) -> Column:
+        at = F.unix_micros(x["ts"].cast("timestamp"))
+        fresh = acc["until"].isNull() | (at >= acc["until"])
+        return F.when(fresh, F.struct((at + span).alias("until"), F.array_append(acc["found"], x).alias("found")).cast(kept)).otherwise(acc)
+
+    def write(batch: DataFrame, number: int) -> None:
+        # Two places take turns: a micro-batch that is tried again still has its predecessor's.
+        mine, last = f"{base}/state-{number % 2}", f"{base}/state-{(number + 1) % 2}"
+        seen, newest = None, None
+        if number:
+            state = spark.read.parquet(last)
+            newest = state.agg(F.max("newest")).first()[0]
+            seen = state.filter("until is not null").select(F.col(key).alias("known"), F.col("until").alias("start"))
+            batch = batch.filter(F.unix_micros(F.col("ts").cast("timestamp")) >= F.lit(newest)) if newest is not None else batch
+        grouped = batch.filter("ts is not null").groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+        if seen is None:
+            grouped = grouped.withColumn("start", F.lit(None).cast("long"))
+        else:
+            grouped = grouped.join(seen, F.col(key).eqNullSafe(F.col("known")), "full_outer").withColumn(key, F.coalesce(key, "known"))
+        begin = F.struct(F.col("start").alias("until"), F.array().alias("found")).cast(kept)
+        walked = grouped.select(key, F.aggregate(F.coalesce("rows", F.array()), begin, walk).alias("w"), F.unix_micros(F.element_at("rows", -1)["ts"].cast("timestamp")).alias("last"))
+        walked.write.mode("overwrite").parquet(f"{base}/walked")
+        walked = spark.read.schema(walked.schema).parquet(f"{base}/walked")
+        walked.select(key, F.explode("w.found").alias("f")).select(key, "f.event_id", "f.ts").write.mode("overwrite").parquet(f"{base}/fresh/batch={number}")
+        end = walked.agg(F.greatest(F.max("last"), F.lit(newest).cast("long")).alias("newest"))
+        # One row tells the newest event; the others are keys and when they are forgotten.
+        alive = walked.select(key, F.col("w.until").alias("until")).join(F.broadcast(end), F.col("until") > F.col("newest")).drop("newest")
+        alive.unionByName(end, allowMissingColumns=True).write.mode("overwrite").parquet(mine)
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/fresh")
+
+
 def sync_streams(pages: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, cursors) after one sync over archived pages.
 
