@@ -84,3 +84,25 @@ def test_spans_and_chunks_by_heading(spark):
             assert 0 < e - s <= 40 and not any(s < h < e for h in heads)
         covered = set().union(*[range(s, e) for s, e in split_sections(t, 40, 10)], set())
         assert all(i in covered for i, c in enumerate(t) if not c.isspace())
+
+
+def test_chunks_are_handed_on_while_texts_are_read():
+    import pyarrow as pa
+
+    from tidewright.operators import batches, chunking
+
+    text, read = "Some words here. " * 2000, []
+
+    def parts():
+        for i in range(20):
+            read.append(i)
+            yield pa.record_batch({"doc_id": pa.array([i, None]), "text": pa.array([text, None])})
+
+    out = []
+    for batch in chunking._chunk(400, 60, split_sections)(parts()):
+        assert batch.num_rows <= batches.ROWS
+        # What is held are some rows more than were handed on, not all of the texts.
+        assert len(read) * len(split_sections(text, 400, 60)) <= sum(b.num_rows for b in out) + batches.ROWS + 200
+        out.append(batch)
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["chunk_index"], r["char_start"], r["char_end"], r["chunk"]) for r in rows] == [(d, i, s, e, text[s:e]) for d in range(20) for i, (s, e) in enumerate(split_sections(text, 400, 60))]

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.batches import record_batches
+
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _HEADING = re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+(?=\S)", re.M)
@@ -98,30 +100,37 @@ def sections(docs: DataFrame) -> DataFrame:
     return kept.select("doc_id", (F.row_number().over(order) - 1).alias("section"), "start", "end", "level", "title", "path")
 
 
-def _sentences(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, text) one by one."""
     for part in parts:
-        rows = []
-        for d, t in zip(part["doc_id"], part["text"]):
+        for doc, text in zip(part.column(0), part.column(1)):
+            yield doc.as_py(), text.as_py()
+
+
+def _sentences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for d, t in _texts(parts):
             for p, (s, e) in enumerate(_spans(t or "", _PARAGRAPH)):
-                rows.append((d, "paragraph", p, s, e))
-                rows += [(d, "sentence", p, a, b) for a, b in _spans(t[s:e], _SENTENCE, s)]
-        yield pd.DataFrame(rows, columns=["doc_id", "kind", "paragraph", "start", "end"])
+                yield d, "paragraph", p, s, e
+                for a, b in _spans(t[s:e], _SENTENCE, s):
+                    yield d, "sentence", p, a, b
+
+    yield from record_batches(rows(), [("doc_id", pa.int64()), ("kind", pa.string()), ("paragraph", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def text_spans(docs: DataFrame) -> DataFrame:
     """doc_id, kind (paragraph or sentence), paragraph, start and end in code points of every paragraph and its sentences."""
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInPandas(_sentences, "doc_id long, kind string, paragraph int, start int, end int")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sentences, "doc_id long, kind string, paragraph int, start int, end int")
 
 
 def _chunk(most: int, overlap: int, cut=split_text):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(d, i, s, e, t[s:e]) for d, t in zip(part["doc_id"], part["text"]) for i, (s, e) in enumerate(cut(t, most, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "char_start", "char_end", "chunk"])
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((d, i, s, e, t[s:e]) for d, t in _texts(parts) for i, (s, e) in enumerate(cut(t, most, overlap)))
+        yield from record_batches(rows, [("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("chunk", pa.string())])
 
     return run
 
 
 def chunk_documents(docs: DataFrame, most: int = 2000, overlap: int = 200, headings: bool = False) -> DataFrame:
     """doc_id, chunk_index, char_start, char_end, chunk; with ``headings`` no chunk holds parts of two sections."""
-    return docs.select("doc_id", "text").mapInPandas(_chunk(most, overlap, split_sections if headings else split_text), "doc_id long, chunk_index int, char_start int, char_end int, chunk string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunk(most, overlap, split_sections if headings else split_text), "doc_id long, chunk_index int, char_start int, char_end int, chunk string")
