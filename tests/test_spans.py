@@ -58,6 +58,26 @@ def test_mentions_of_tables(spark):
     assert resolve_mentions(docs.limit(0), told).collect() == []
 
 
+def test_mentions_of_one_document_are_held_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidewright.operators.spans import _verified
+
+    words = [f"Word{i}" for i in range(400)]
+    told = [{"surface": w, "start": None, "end": None} for w in words]
+    kind = pa.list_(pa.struct([("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    part = pa.record_batch({"doc_id": pa.array(range(300)), "text": pa.array([" ".join(words)] * 300), "mentions": pa.array([told] * 300, kind)})
+    tracemalloc.start()
+    rows = [r for b in _verified(3)(iter([part])) for r in zip(*(b.column(i).to_pylist() for i in (0, 1, 4, 6)))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [(d, i, words[i], i) for d in range(300) for i in range(3)]
+    # All mentions as objects at once take over 20 MB.
+    assert peak < 4_000_000
+
+
 def test_quotes_of_all_lengths_meet_their_texts(spark):
     rng = random.Random(4)
     words = ["ab", "Cd", "ef", "Gh", "été"]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import tokens
+from tidewright.operators.batches import record_batches
 
 # Fixed value: most mentions of a document.
 LIMIT = 64
@@ -120,9 +122,21 @@ def resolve_mentions(docs: DataFrame, mentions: DataFrame, limit: int = LIMIT) -
     as each takes its place from the later ones; documents go separately.
     """
     lists = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "surface", "start", "end"))).alias("mentions"))
-    located = F.udf(lambda text, own: verify(text, own, limit), "array<struct<reported:int,start:int,end:int,surface:string,tier:string>>", useArrow=True)
-    found = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", F.posexplode(located(F.col("text"), F.col("mentions"))).alias("position", "m"))
-    return found.select("doc_id", "m.*", "position")
+    told = F.transform("mentions", lambda m: F.struct(m["surface"].alias("surface"), m["start"].alias("start"), m["end"].alias("end")))
+    id_ = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", told.alias("mentions"))
+    return found.mapInArrow(_verified(limit), f"doc_id {id_}, reported int, start int, end int, surface string, tier string, position int")
+
+
+def _verified(limit: int):
+    """Batches of (doc_id, text, mentions) to located mentions; one document's are Python objects at a time."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = ((doc.as_py(), *m.values(), at) for doc, text, own in zip(*part.columns) for at, m in enumerate(verify(text.as_py(), own.as_py(), limit)))
+            yield from record_batches(rows, [("doc_id", part.schema.field(0).type), ("reported", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("tier", pa.string()), ("position", pa.int32())])
+
+    return run
 
 
 def quote_pairs(docs: DataFrame, ids: list[str], quotes: DataFrame) -> DataFrame:
