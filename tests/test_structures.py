@@ -46,6 +46,24 @@ def test_components_split_and_large_ones_stay(spark):
     assert refine.split_components(members.limit(0), scores).count() == 0
 
 
+def test_large_components_split_as_their_definition_says(spark, monkeypatch):
+    rng = random.Random(8)
+    members, scores, want = [], [], {}
+    for component in (0, 100, 200, 300):
+        own = range(component, component + rng.randrange(20, 45))
+        score = {p: rng.choice([1.0, 0.95, 0.8, 0.5, 0.1]) for p in itertools.combinations(own, 2) if rng.random() < component / 500 + 0.1}
+        members += [(m, component) for m in own]
+        scores += [(*rng.sample(p, 2), s) for p, s in score.items()]
+        want |= {m: (component, part[0]) for part in joined_by_definition(own, score, refine.FLOOR) for m in part}
+    members.append((999, 999))
+    frames = spark.createDataFrame(members, "node long, component long"), spark.createDataFrame(scores, "u long, v long, score double")
+    assert 50 < len(set(want.values())) < len(want)
+    for cell in (refine.CELL, 15):
+        monkeypatch.setattr(refine, "CELL", cell)
+        got = {r["node"]: (r["component"], r["part"]) for r in refine.refined_components(*frames, most=22).collect()}
+        assert got == want | {999: (999, 999)}
+
+
 def test_depth_of_json(spark):
     raws = ['{"a": {"b": [1, {"c": "]}{["}]}}', "[]", "3", '"\\"["', '{"a": "\\\\"}', None, '{"k": "' + '\\"x[' * 20000 + '"}']
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(raws)], "i int, raw string").orderBy("i").select(json_depth(F.col("raw"))).collect()]
