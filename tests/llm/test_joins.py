@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -143,3 +144,16 @@ def test_needed_count_has_the_stated_recall():
     p = math.erf(E.WINDOW / math.sqrt(2))
     tail = sum(math.comb(E.LINES, k) * p**k * (1 - p) ** (E.LINES - k) for k in range(E.needed_collisions(), E.LINES + 1))
     assert tail >= E.RECALL
+
+
+def test_jaccard_join_keeps_no_table_of_shingles(spark):
+    from tidewright.llm.common import shared_dir
+
+    base = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    texts = [" ".join(f"w{(i // 3) * 40 + k}" for k in range(30 + i % 3)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in J.similar_components(docs).collect()}
+    assert got == {i: i - i % 3 for i in range(30)}
+    left = {name.split("-")[0] for name in set(os.listdir(base)) - before}
+    assert left and not left & {"counts", "signatures", "lists"}
